@@ -24,9 +24,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import localize, materialise
+
 EPS = 1e-12
 
 
@@ -49,7 +53,8 @@ def topic_occurrences(corpus: DataFrame, topics: DataFrame, keys: Sequence[str]
     The topic-word table is bounded by sets x K x k, so it is broadcast.
     """
     terms = topics.select(*keys, "term").distinct()
-    long = corpus.select("doc_id", F.size(tokens).alias("n"), F.posexplode(tokens).alias("pos", "term"))
+    long = (corpus.select("doc_id", F.size(tokens).alias("n"), F.posexplode_outer(tokens).alias("pos", "term"))
+                  .filter(F.col("term").isNotNull()))
     return long.join(F.broadcast(terms), "term")
 
 
@@ -111,15 +116,28 @@ def pair_counts(occ: DataFrame, pairs: DataFrame, keys: Sequence[str], kind: str
                  .select(*keys, "a", "b", (F.col("_na") + F.col("_nb") - F.col("_u")).cast("long").alias("n_ab")))
 
 
+@dataclass
+class WindowStats:
+    totals: DataFrame   # (*keys, n_windows)
+    singles: DataFrame  # (*keys, term, n_term)
+    pairs: DataFrame    # (*keys, a, b, n_ab), a < b
+
+
 def window_stats(corpus: DataFrame, topics: DataFrame, keys: Sequence[str], kind: str, size: int,
-                 tokens: str = "tokens") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(totals, single counts, pair counts) for one window definition."""
-    occ = topic_occurrences(corpus, topics, keys, tokens)
-    totals = window_totals(occ, keys, kind, size)
-    singles = single_counts(occ, keys, kind, size)
+                 tokens: str = "tokens") -> WindowStats:
+    """Totals, single and pair window counts for one window definition.
+
+    The corpus-proportional work (occurrences, interval unions) runs
+    distributed over a persisted occurrence table; the three results are
+    bounded by the topic sets (terms, term pairs) and become local frames.
+    """
+    occ = materialise(topic_occurrences(corpus, topics, keys, tokens))
+    totals = localize(window_totals(occ, keys, kind, size))
+    singles = localize(single_counts(occ, keys, kind, size))
     pairs = rank_pairs(topics, keys)
-    pc = pair_counts(occ, pairs, keys, kind, size, singles)
-    return totals, singles, pc
+    pc = localize(pair_counts(occ, pairs, keys, kind, size, singles))
+    occ.unpersist()
+    return WindowStats(totals, singles, pc)
 
 
 def _pair_table(topics: DataFrame, keys: Sequence[str], totals: DataFrame, singles: DataFrame,
@@ -151,23 +169,27 @@ def _log_ratio(normalize: bool) -> Column:
     return F.coalesce(lr, F.lit(0.0))
 
 
-def _direct(corpus, topics, keys, size, normalize, name, tokens):
-    totals, singles, pc = window_stats(corpus, topics, keys, "sliding", size, tokens)
-    t = _pair_table(topics, keys, totals, singles, pc, False, False)
+def _stats(stats, corpus, topics, keys, kind, size, tokens):
+    return stats if stats is not None else window_stats(corpus, topics, keys, kind, size, tokens)
+
+
+def _direct(corpus, topics, keys, size, normalize, name, tokens, stats=None):
+    st = _stats(stats, corpus, topics, keys, "sliding", size, tokens)
+    t = _pair_table(topics, keys, st.totals, st.singles, st.pairs, False, False)
     return (t.withColumn("_m", _log_ratio(normalize))
              .groupBy(*keys, "topic").agg(F.avg("_m").alias(name)))
 
 
 def npmi(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = (), window: int = 10,
-         tokens: str = "tokens") -> DataFrame:
+         tokens: str = "tokens", stats: WindowStats | None = None) -> DataFrame:
     """Q-npmi per topic: mean NPMI over word pairs, sliding window 10."""
-    return _direct(corpus, topics, keys, window, True, "npmi", tokens)
+    return _direct(corpus, topics, keys, window, True, "npmi", tokens, stats)
 
 
 def uci(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = (), window: int = 10,
-        tokens: str = "tokens") -> DataFrame:
+        tokens: str = "tokens", stats: WindowStats | None = None) -> DataFrame:
     """Q-uci per topic: mean PMI over word pairs, sliding window 10."""
-    return _direct(corpus, topics, keys, window, False, "uci", tokens)
+    return _direct(corpus, topics, keys, window, False, "uci", tokens, stats)
 
 
 def _context_vectors(t: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +197,7 @@ def _context_vectors(t: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
     vector V[u] = sum_i v_i[u], from a pair table that includes i == j."""
     t = t.withColumn("_m", _log_ratio(True))
     v = t.groupBy(*keys, "topic", "i", F.col("b").alias("u")).agg(F.sum("_m").alias("v"))
-    V = v.groupBy(*keys, "topic", "u").agg(F.sum("v").alias("V"))
+    V = v.groupBy(*keys, "topic", "u").agg(F.sum("v").alias("vs"))
     return v, V
 
 
@@ -184,27 +206,27 @@ def _cos(dot: str, n1: str, n2: str) -> Column:
 
 
 def cv(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = (), window: int = 110,
-       tokens: str = "tokens") -> DataFrame:
+       tokens: str = "tokens", stats: WindowStats | None = None) -> DataFrame:
     """Q-cv per topic: each word against the whole set; cosine of NPMI
     context vectors; sliding window 110."""
-    totals, singles, pc = window_stats(corpus, topics, keys, "sliding", window, tokens)
-    t = _pair_table(topics, keys, totals, singles, pc, True, True)
+    st = _stats(stats, corpus, topics, keys, "sliding", window, tokens)
+    t = _pair_table(topics, keys, st.totals, st.singles, st.pairs, True, True)
     v, V = _context_vectors(t, keys)
     g = [*keys, "topic"]
     vv = v.join(V, [*g, "u"])
-    per_word = vv.groupBy(*g, "i").agg(F.sum(F.col("v") * F.col("V")).alias("_dot"),
+    per_word = vv.groupBy(*g, "i").agg(F.sum(F.col("v") * F.col("vs")).alias("_dot"),
                                        F.sum(F.col("v") * F.col("v")).alias("_n1"))
-    setn = V.groupBy(*g).agg(F.sum(F.col("V") * F.col("V")).alias("_n2"))
+    setn = V.groupBy(*g).agg(F.sum(F.col("vs") * F.col("vs")).alias("_n2"))
     return (per_word.join(setn, g).withColumn("_c", _cos("_dot", "_n1", "_n2"))
                     .groupBy(*g).agg(F.avg("_c").alias("cv")))
 
 
 def ca(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = (), radius: int = 5,
-       tokens: str = "tokens") -> DataFrame:
+       tokens: str = "tokens", stats: WindowStats | None = None) -> DataFrame:
     """Q-ca per topic: pairs of words, cosine of their NPMI context vectors,
     counts from centred context windows of +-radius."""
-    totals, singles, pc = window_stats(corpus, topics, keys, "centred", radius, tokens)
-    t = _pair_table(topics, keys, totals, singles, pc, True, True)
+    st = _stats(stats, corpus, topics, keys, "centred", radius, tokens)
+    t = _pair_table(topics, keys, st.totals, st.singles, st.pairs, True, True)
     v, _ = _context_vectors(t, keys)
     g = [*keys, "topic"]
     v1 = v.select(*g, "i", "u", F.col("v").alias("v1"))
@@ -220,12 +242,12 @@ def ca(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = (), radius: i
 
 
 def cp(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = (), window: int = 70,
-       tokens: str = "tokens") -> DataFrame:
+       tokens: str = "tokens", stats: WindowStats | None = None) -> DataFrame:
     """Q-cp per topic: each word against each preceding word, Fitelson's
     confirmation ``(P(a|b) - P(a|not b)) / (P(a|b) + P(a|not b))``,
     sliding window 70."""
-    totals, singles, pc = window_stats(corpus, topics, keys, "sliding", window, tokens)
-    t = _pair_table(topics, keys, totals, singles, pc, False, True).filter(F.col("j") < F.col("i"))
+    st = _stats(stats, corpus, topics, keys, "sliding", window, tokens)
+    t = _pair_table(topics, keys, st.totals, st.singles, st.pairs, False, True).filter(F.col("j") < F.col("i"))
     p_ab = F.try_divide(F.col("n_ab"), F.col("nb"))
     p_anb = F.try_divide(F.col("na") - F.col("n_ab"), F.col("W") - F.col("nb"))
     f = F.coalesce(F.try_divide(F.coalesce(p_ab, F.lit(0.0)) - F.coalesce(p_anb, F.lit(0.0)),
@@ -259,12 +281,13 @@ def score_summary(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = ()
 
     C_A and C_P take ``reference`` (any corpus) when given.
     """
-    topics = topics.filter(F.col("rank") < topk)
+    topics = localize(topics.filter(F.col("rank") < topk))
     ref = reference if reference is not None else corpus
+    w10 = window_stats(corpus, topics, keys, "sliding", 10, tokens)
     parts = [
         mean_over_topics(cv(corpus, topics, keys, tokens=tokens), keys, "cv"),
-        mean_over_topics(npmi(corpus, topics, keys, tokens=tokens), keys, "npmi"),
-        mean_over_topics(uci(corpus, topics, keys, tokens=tokens), keys, "uci"),
+        mean_over_topics(npmi(corpus, topics, keys, tokens=tokens, stats=w10), keys, "npmi"),
+        mean_over_topics(uci(corpus, topics, keys, tokens=tokens, stats=w10), keys, "uci"),
         diversity(topics, keys, topk),
         mean_over_topics(ca(ref, topics, keys, tokens=tokens), keys, "ca").withColumnRenamed("ca", "C_A"),
         mean_over_topics(cp(ref, topics, keys, tokens=tokens), keys, "cp").withColumnRenamed("cp", "C_P"),
@@ -273,4 +296,4 @@ def score_summary(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = ()
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, list(keys), "full") if keys else out.crossJoin(p)
-    return out
+    return localize(out)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def class_tfidf(long: DataFrame, class_cols: Sequence[str], term: str = "term",
                 scope_cols: Sequence[str] = ()) -> DataFrame:
@@ -23,7 +25,7 @@ def class_tfidf(long: DataFrame, class_cols: Sequence[str], term: str = "term",
     row per class and the global constant is one row.
     """
     keys = [*scope_cols, *class_cols]
-    counts = long.groupBy(*keys, term).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(long.groupBy(*keys, term).agg(F.count(F.lit(1)).alias("n")))
     return class_tfidf_from_counts(counts, class_cols, term, scope_cols)
 
 

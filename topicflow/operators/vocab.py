@@ -20,14 +20,14 @@ def explode_tokens(df: DataFrame, id_cols: Sequence[str] = ("doc_id",), tokens:
                    keep: Sequence[str] = ()) -> DataFrame:
     """Long table ``(*id_cols, pos, term)`` with 0-based positions."""
     cols = [F.col(c) for c in (*id_cols, *keep)]
-    return df.select(*cols, F.posexplode(tokens).alias("pos", "term"))
+    return df.select(*cols, F.posexplode_outer(tokens).alias("pos", "term")).filter(F.col("term").isNotNull())
 
 
 def doc_freq_vocabulary(df: DataFrame, tokens: str = "tokens", min_df: float = 0.00002,
                         max_df: float = 0.99) -> DataFrame:
     """V1: terms with ``min_df*n <= df <= max_df*n`` (n = documents), ``(term, df)``."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    dfreq = (df.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    dfreq = (distinct_terms_per_doc(df, tokens)
                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     return (dfreq.crossJoin(F.broadcast(n))          # one-row side
                  .filter((F.col("df") >= F.lit(min_df) * F.col("_n"))
@@ -35,10 +35,20 @@ def doc_freq_vocabulary(df: DataFrame, tokens: str = "tokens", min_df: float = 0
                  .select("term", F.col("df").cast("long").alias("df")))
 
 
+def explode_terms(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """One row per token.  ``explode_outer`` + null filter: a plain explode
+    makes the optimizer infer ``size(tokens) > 0`` and push it (and the
+    whole tokeniser) below the preceding repartition."""
+    return df.select(F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull())
+
+
+def distinct_terms_per_doc(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    return explode_terms(df.select(F.array_distinct(tokens).alias("_d")), "_d")
+
+
 def term_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """V7: corpus count per term, ``(term, n)``."""
-    return (df.select(F.explode(tokens).alias("term"))
-              .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    return explode_terms(df, tokens).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequency_capped_vocabulary(df: DataFrame, tokens: str = "tokens", top: int = 2000) -> DataFrame:

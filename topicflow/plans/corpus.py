@@ -15,29 +15,75 @@ from pyspark.sql import functions as F
 from ..functions import stopwords
 from ..functions.tokens import remove_words, vocab_tokens
 from ..operators import ctfidf, filters, vocab
+from ..session import localize, materialise, spread
 from ..sources.tables import read_table
 
 TOPK = 10
 
 
+_MEMO: dict = {}
+
+
+def clear_memo() -> None:
+    for df in _MEMO.values():
+        try:
+            df.unpersist()
+        except Exception:
+            pass
+    _MEMO.clear()
+
+
+def _memo(spark, key, build):
+    k = (id(spark), key)
+    if k not in _MEMO:
+        _MEMO[k] = materialise(build())
+    return _MEMO[k]
+
+
 def documents(spark: SparkSession, data_dir: str) -> DataFrame:
-    return read_table(spark, data_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = read_table(spark, data_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(docs, "doc_id")
 
 
-def raw_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
-    docs = filters.loader_clean(documents(spark, data_dir))
+def tokenise(df: DataFrame, keep=()) -> DataFrame:
+    """Loader cleaning, vocabulary token pattern, English stop words out."""
+    docs = filters.loader_clean(df)
     toks = remove_words(vocab_tokens("text"), stopwords.stopwords("en"))
-    return docs.select("doc_id", "lang", "source", toks.alias("tokens"))
+    return docs.select("doc_id", *keep, toks.alias("tokens"))
 
 
-def restricted_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
-    raw = raw_corpus(spark, data_dir)
+def raw_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
+    return tokenise(documents(spark, data_dir), ("lang", "source"))
+
+
+def benchmark_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
+    b = read_table(spark, data_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return tokenise(b)
+
+
+def conversation_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
+    c = read_table(spark, data_dir, "conversations").select(
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"), "role", "text")
+    return tokenise(c, ("role",))
+
+
+def build_restricted(raw: DataFrame) -> DataFrame:
     voc = vocab.doc_freq_vocabulary(raw)
     return vocab.restrict_to_vocabulary(raw, voc, keep=("lang", "source"))
 
 
+def restricted_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Shared, persisted once per session and folder (several branches reuse it)."""
+    return _memo(spark, ("restricted", data_dir), lambda: build_restricted(raw_corpus(spark, data_dir)))
+
+
 def restricted_long(spark: SparkSession, data_dir: str) -> DataFrame:
-    return vocab.explode_tokens(restricted_corpus(spark, data_dir), keep=("lang", "source"))
+    """Long form ``(doc_id, lang, source, n, pos, term)``, persisted: primitive
+    columns cache and scan far cheaper than the array form."""
+    def build():
+        rc = restricted_corpus(spark, data_dir).withColumn("n", F.size("tokens"))
+        return vocab.explode_tokens(rc, keep=("lang", "source", "n"))
+    return _memo(spark, ("restricted_long", data_dir), build)
 
 
 def class_topics(long: DataFrame, class_col: str, k: int = TOPK) -> DataFrame:
@@ -47,4 +93,8 @@ def class_topics(long: DataFrame, class_col: str, k: int = TOPK) -> DataFrame:
 
 
 def source_topics(spark: SparkSession, data_dir: str, k: int = TOPK) -> DataFrame:
-    return class_topics(restricted_long(spark, data_dir), "source", k)
+    """Bounded (classes x k rows); persisted because scoring joins it many times."""
+    k_ = (id(spark), ("source_topics", data_dir, k))
+    if k_ not in _MEMO:
+        _MEMO[k_] = localize(class_topics(restricted_long(spark, data_dir), "source", k))
+    return _MEMO[k_]

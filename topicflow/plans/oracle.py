@@ -25,6 +25,20 @@ def docs_cte() -> str:
             "FROM documents WHERE text IS NOT NULL AND length(text) > 2)")
 
 
+def tokenise_cte(name: str, select_from: str, keep: str = "") -> str:
+    """``name(doc_id, {keep}, tokens)`` from ``select_from`` giving doc_id, text[, keep]."""
+    k = f"{keep}, " if keep else ""
+    return f"""{name} AS (SELECT doc_id, {k}
+        list_filter(regexp_extract_all(lower(replace(lower(text), chr(10), ' ')), '{VOCAB_TOKEN}'), lambda t: NOT list_contains({stop_en()}, t)) AS tokens
+        FROM ({select_from}) WHERE text IS NOT NULL AND length(text) > 2)"""
+
+
+def long_cte(name: str, src: str, keep: str = "") -> str:
+    k = f"{keep}, " if keep else ""
+    return (f"{name} AS (SELECT doc_id, {k}unnest(tokens) AS term, unnest(range(len(tokens))) AS pos, "
+            f"len(tokens) AS n FROM {src})")
+
+
 def raw_ctes() -> str:
     """docs, raw (doc tokens), raw_long (doc_id, lang, source, term, rawpos)."""
     return f"""{docs_cte()},

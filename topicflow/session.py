@@ -32,6 +32,9 @@ def get_spark(master: str | None = None, app: str = "topicflow",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         "spark.sql.files.maxPartitionBytes": "64m",
+        # AQE turns a sort-merge join into a shuffled hash join when every
+        # build-side partition is below this size (checked at run time).
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -71,15 +74,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: str | None = None, per_partition: int = 0) -> DataFrame:
-    """Repartition a document table so expensive per-row work is spread.
+def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
+    """Hash-partition a document table on ``key`` so per-row work is spread.
 
     Single-file Parquet inputs scan as one or two tasks; regex chains over
-    long texts then run on one core.  Round-robin (or hash on ``key``) over
-    the session's default parallelism.
+    long texts then run on one core.  The partition count never drops
+    below the scan's own split count (which grows with the data), and the
+    hash layout on ``doc_id`` is reused by later per-document regrouping.
     """
     spark = df.sparkSession
-    n = max(int(spark.sparkContext.defaultParallelism), 1) * 4
-    if per_partition:
-        n = max(n, per_partition)
+    try:
+        scan_parts = df.rdd.getNumPartitions()
+    except Exception:
+        scan_parts = 1
+    n = max(scan_parts, int(spark.sparkContext.defaultParallelism) * factor)
     return df.repartition(n, key) if key else df.repartition(n)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) a frame several branches reuse.
+
+    Lost executors recompute lost blocks from lineage.
+    """
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def localize(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """Bring a frame whose size is bounded by parameters (topics x words,
+    classes, grid points) into a local relation, cutting its lineage.
+
+    The bound is checked: more than ``limit`` rows keeps it distributed
+    (persisted) instead.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return materialise(df)
+    return df.sparkSession.createDataFrame(rows, df.schema)
