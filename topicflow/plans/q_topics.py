@@ -123,3 +123,20 @@ SELECT round(avg(u), 6) AS uniqueness FROM per
 """)
 def q_uniq_source(spark, d):
     return coherence.uniqueness(C.source_topics(spark, d)).select(r6("uniqueness").alias("uniqueness"))
+
+
+@register("s1_load_docs_registry", f"""
+WITH {O.tokenise_cte('conv', 'SELECT conv_id * 1000000 + turn AS doc_id, role, text FROM conversations', 'role')}
+SELECT doc_id, role, len(tokens) AS n_tokens FROM conv
+""")
+def s1_load_docs_registry(spark, d):
+    """The registry-named conversation corpus through the loader cleaning."""
+    c = C.conversation_corpus(spark, d)
+    return c.select("doc_id", "role", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@register("p5_sample_with_replacement")
+def p5_sample_with_replacement(spark, d):
+    """P5: 500 seeded draws with replacement over document positions."""
+    docs = read_table(spark, d, "documents").select("doc_id", "lang")
+    return filters.sample_with_replacement(docs, 500, seed=3)
