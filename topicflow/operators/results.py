@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from ..session import localize
 
 
+def round3(col) -> F.Column:
+    """Round to 3 places half-up on the value's 9-digit decimal form, so
+    exact ties (0.5105) break the same way in every engine."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(F.round(c, 9), 3)
+
+
 def resolve_topic_count(params: str = "Params") -> F.Column:
     """A2: first non-zero of nr_topics, num_topics, n_components."""
     def g(k):
@@ -68,14 +75,14 @@ def comparison_table(means: DataFrame, datasets: Sequence[str], order_dataset: s
     columns rounded to 3, aligned on the model order (models missing in the
     order dataset get a null order)."""
     piv = (means.groupBy("Model").pivot("Dataset", list(datasets))
-                .agg(F.round(F.first("npmi"), 3).alias("npmi"), F.round(F.first("diversity"), 3).alias("diversity")))
+                .agg(round3(F.first("npmi")).alias("npmi"), round3(F.first("diversity")).alias("diversity")))
     order = model_order(means, order_dataset)
     return piv.join(order, "Model", "left")
 
 
 def topic_quality(table: DataFrame, datasets: Sequence[str]) -> DataFrame:
     """Npmi x diversity per dataset on the rounded table, rounded to 3."""
-    return table.select("Model", *[F.round(F.col(f"{d}_npmi") * F.col(f"{d}_diversity"), 3).alias(d) for d in datasets])
+    return table.select("Model", *[round3(F.col(f"{d}_npmi") * F.col(f"{d}_diversity")).alias(d) for d in datasets])
 
 
 def top_three(table: DataFrame, value_cols: Sequence[str], key: str = "Model") -> DataFrame:

@@ -74,6 +74,30 @@ def restrict_to_vocabulary(df: DataFrame, vocab: DataFrame, id_col: str = "doc_i
     return grouped.select(id_col, *keep, F.transform("_pt", lambda x: x["term"]).alias(tokens))
 
 
+def restrict_by_df_bounds(df: DataFrame, min_df: float = 0.00002, max_df: float = 0.99,
+                          tokens: str = "tokens", id_col: str = "doc_id", keep: Sequence[str] = (),
+                          limit: int = 100_000) -> DataFrame:
+    """V1 + V4 with a size-checked plan choice.
+
+    The terms *outside* the document-frequency bounds are usually few
+    (very common words, and rare words only when ``min_df * n > 1``).  When
+    at most ``limit`` such terms exist they are filtered out of the token
+    arrays in place (hash-set lookup, no shuffle, partitioning kept);
+    otherwise the explode / semi-join / regroup plan runs.
+    """
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    dfreq = distinct_terms_per_doc(df, tokens).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    bounded = dfreq.crossJoin(F.broadcast(n))
+    inside = (F.col("df") >= F.lit(min_df) * F.col("_n")) & (F.col("df") <= F.lit(max_df) * F.col("_n"))
+    excluded = bounded.filter(~inside).select("term").limit(limit + 1).collect()
+    if len(excluded) <= limit:
+        words = [r["term"] for r in excluded]
+        out = df.select(id_col, *keep, (F.filter(tokens, lambda t: ~t.isin(words)) if words else F.col(tokens)).alias(tokens))
+        return out.filter(F.size(tokens) > 0)
+    voc = bounded.filter(inside).select("term")
+    return restrict_to_vocabulary(df, voc, id_col, tokens, keep)
+
+
 def restrict_to_terms(df: DataFrame, terms: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """V4 for a vocabulary of bounded, known size: a hash-set filter in place,
     no shuffle."""

@@ -68,8 +68,8 @@ def conversation_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def build_restricted(raw: DataFrame) -> DataFrame:
-    voc = vocab.doc_freq_vocabulary(raw)
-    return vocab.restrict_to_vocabulary(raw, voc, keep=("lang", "source"))
+    """V1 bounds + V4 restriction (size-checked in-place filter or join plan)."""
+    return vocab.restrict_by_df_bounds(materialise(raw), keep=("lang", "source"))
 
 
 def restricted_corpus(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -39,6 +39,10 @@ def run_log(spark, d):
         et.alias("folder"), F.concat(F.lit("run_"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".json")).alias("file"))
 
 
+def R3(e: str) -> str:
+    return f"CAST(round(CAST(round({e}, 9) AS DECIMAL(38, 9)), 3) AS DOUBLE)"
+
+
 RUNLOG_SQL = """rl AS (SELECT event_id, event_type AS Dataset,
     'model_' || CAST(CAST(floor(CAST(json_extract_string(props, '$.k') AS BIGINT) / 20) AS BIGINT) AS VARCHAR) AS Model0,
     CAST((floor(value / 100) + 1) * 10 AS BIGINT) AS nr, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
@@ -83,7 +87,7 @@ def a4_mean_per_model(spark, d):
 MEANS_SQL = f"""{RUNLOG_SQL},
 means AS (SELECT Dataset, Model0 AS Model, avg(npmi) AS npmi, avg(diversity) AS diversity FROM flat GROUP BY ALL),
 ord AS (SELECT Model, row_number() OVER (ORDER BY npmi, Model) - 1 AS "order" FROM means WHERE Dataset = '{ORDER_DATASET}'),
-piv AS (SELECT Model, {", ".join(f"round(max(CASE WHEN Dataset = '{x}' THEN npmi END), 3) AS {x}_npmi, round(max(CASE WHEN Dataset = '{x}' THEN diversity END), 3) AS {x}_diversity" for x in DATASETS)}
+piv AS (SELECT Model, {", ".join(f"{R3(f'max(CASE WHEN Dataset = {chr(39)}{x}{chr(39)} THEN npmi END)')} AS {x}_npmi, {R3(f'max(CASE WHEN Dataset = {chr(39)}{x}{chr(39)} THEN diversity END)')} AS {x}_diversity" for x in DATASETS)}
         FROM means GROUP BY Model),
 cmp AS (SELECT piv.*, ord."order" FROM piv LEFT JOIN ord USING (Model))"""
 
@@ -111,7 +115,7 @@ def a7_comparison_table(spark, d):
 
 @register("a8_topic_quality", f"""
 WITH {MEANS_SQL}
-SELECT Model, {", ".join(f"round({x}_npmi * {x}_diversity, 3) AS {x}" for x in DATASETS)} FROM cmp
+SELECT Model, {", ".join(f"{R3(f'{x}_npmi * {x}_diversity')} AS {x}" for x in DATASETS)} FROM cmp
 """)
 def a8_topic_quality(spark, d):
     return R.topic_quality(R.comparison_table(_means(spark, d), DATASETS, ORDER_DATASET), DATASETS)
