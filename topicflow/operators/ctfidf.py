@@ -51,9 +51,10 @@ def top_words(weights: DataFrame, group_cols: Sequence[str], k: int = 10, term:
     the shuffle, so a huge topic ships at most k rows per map partition.
     """
     w = Window.partitionBy(*group_cols).orderBy(F.desc(score), F.asc(term))
-    return (weights.withColumn("rank", F.row_number().over(w) - 1)
-                   .filter(F.col("rank") < k)
-                   .withColumn("rank", F.col("rank").cast("long")))
+    # filter on the raw row_number so Catalyst infers the group limit
+    return (weights.withColumn("_rn", F.row_number().over(w))
+                   .filter(F.col("_rn") <= k)
+                   .withColumn("rank", (F.col("_rn") - 1).cast("long")).drop("_rn"))
 
 
 def first_token(corpus_long: DataFrame, id_col: str = "doc_id") -> DataFrame:

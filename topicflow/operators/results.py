@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import localize
+from ..session import localize, small
 
 
 def round3(col) -> F.Column:
@@ -39,7 +39,7 @@ def flatten(records: DataFrame, combine_models: bool = False) -> DataFrame:
     else:
         files = df.select("folder", "file").distinct()
         files = files.withColumn("_fidx", F.dense_rank().over(Window.partitionBy("folder").orderBy("file")) - 1)
-        df = df.join(F.broadcast(localize(files)), ["folder", "file"])
+        df = df.join(small(localize(files)), ["folder", "file"])
         model = F.concat(F.col("Model"), F.lit("_"), F.col("_fidx").cast("string"))
     extra = ["time_slice"] if "time_slice" in df.columns else []
     return df.select(

@@ -89,8 +89,8 @@ def top_items(items: DataFrame, topics: DataFrame, vec: str, id_col: str, k: int
     e = s.select(id_col, F.explode("_scores").alias("_s")).select(id_col, F.col("_s.topic").alias("topic"),
                                                                    F.col("_s.score").alias("score"))
     w = Window.partitionBy("topic").orderBy(F.desc("score"), F.asc(id_col))
-    return (e.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
-             .withColumn("rank", F.col("rank").cast("long")))
+    return (e.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+             .withColumn("rank", (F.col("_rn") - 1).cast("long")).drop("_rn"))
 
 
 def topic_sizes(assign: DataFrame, topic: str = "topic") -> DataFrame:

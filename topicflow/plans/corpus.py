@@ -68,8 +68,15 @@ def conversation_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def build_restricted(raw: DataFrame) -> DataFrame:
-    """V1 bounds + V4 restriction (size-checked in-place filter or join plan)."""
-    return vocab.restrict_by_df_bounds(materialise(raw), keep=("lang", "source"))
+    """V1 bounds + V4 restriction (size-checked in-place filter or join plan).
+
+    The tokenised corpus is persisted and filled by one action first, so
+    the concurrent stages that follow read the cache instead of each
+    re-running the tokeniser.
+    """
+    raw = materialise(raw)
+    raw.count()
+    return vocab.restrict_by_df_bounds(raw, keep=("lang", "source"))
 
 
 def restricted_corpus(spark: SparkSession, data_dir: str) -> DataFrame:

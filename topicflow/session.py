@@ -100,6 +100,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast hint only for a frame ``localize`` proved small (a local
+    relation); a frame that failed the size check keeps AQE's choice."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if getattr(df, "_tf_local", False) else df
+
+
 def localize(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """Bring a frame whose size is bounded by parameters (topics x words,
     classes, grid points) into a local relation, cutting its lineage.
@@ -110,4 +117,6 @@ def localize(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         return materialise(df)
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    out = df.sparkSession.createDataFrame(rows, df.schema)
+    out._tf_local = True
+    return out
