@@ -124,19 +124,22 @@ class WindowStats:
 
 
 def window_stats(corpus: DataFrame, topics: DataFrame, keys: Sequence[str], kind: str, size: int,
-                 tokens: str = "tokens") -> WindowStats:
+                 tokens: str = "tokens", occ: DataFrame | None = None) -> WindowStats:
     """Totals, single and pair window counts for one window definition.
 
     The corpus-proportional work (occurrences, interval unions) runs
     distributed over a persisted occurrence table; the three results are
     bounded by the topic sets (terms, term pairs) and become local frames.
     """
-    occ = materialise(topic_occurrences(corpus, topics, keys, tokens))
+    own = occ is None
+    if own:
+        occ = materialise(topic_occurrences(corpus, topics, keys, tokens))
     totals = localize(window_totals(occ, keys, kind, size))
     singles = localize(single_counts(occ, keys, kind, size))
     pairs = rank_pairs(topics, keys)
     pc = localize(pair_counts(occ, pairs, keys, kind, size, singles))
-    occ.unpersist()
+    if own:
+        occ.unpersist()
     return WindowStats(totals, singles, pc)
 
 
@@ -283,17 +286,26 @@ def score_summary(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = ()
     """
     topics = localize(topics.filter(F.col("rank") < topk))
     ref = reference if reference is not None else corpus
-    w10 = window_stats(corpus, topics, keys, "sliding", 10, tokens)
+    # one occurrence table per corpus serves every window definition
+    occ = materialise(topic_occurrences(corpus, topics, keys, tokens))
+    occ_ref = occ if reference is None else materialise(topic_occurrences(ref, topics, keys, tokens))
+    w10 = window_stats(corpus, topics, keys, "sliding", 10, tokens, occ)
+    w110 = window_stats(corpus, topics, keys, "sliding", 110, tokens, occ)
+    c5 = window_stats(ref, topics, keys, "centred", 5, tokens, occ_ref)
+    w70 = window_stats(ref, topics, keys, "sliding", 70, tokens, occ_ref)
     parts = [
-        mean_over_topics(cv(corpus, topics, keys, tokens=tokens), keys, "cv"),
+        mean_over_topics(cv(corpus, topics, keys, tokens=tokens, stats=w110), keys, "cv"),
         mean_over_topics(npmi(corpus, topics, keys, tokens=tokens, stats=w10), keys, "npmi"),
         mean_over_topics(uci(corpus, topics, keys, tokens=tokens, stats=w10), keys, "uci"),
         diversity(topics, keys, topk),
-        mean_over_topics(ca(ref, topics, keys, tokens=tokens), keys, "ca").withColumnRenamed("ca", "C_A"),
-        mean_over_topics(cp(ref, topics, keys, tokens=tokens), keys, "cp").withColumnRenamed("cp", "C_P"),
+        mean_over_topics(ca(ref, topics, keys, tokens=tokens, stats=c5), keys, "ca").withColumnRenamed("ca", "C_A"),
+        mean_over_topics(cp(ref, topics, keys, tokens=tokens, stats=w70), keys, "cp").withColumnRenamed("cp", "C_P"),
         uniqueness(topics, keys),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, list(keys), "full") if keys else out.crossJoin(p)
-    return localize(out)
+    out = localize(out)
+    occ.unpersist()
+    occ_ref.unpersist()
+    return out

@@ -36,7 +36,10 @@ def class_tfidf_from_counts(counts: DataFrame, class_cols: Sequence[str], term:
     tot = counts.groupBy(*keys).agg(F.sum("n").alias("_tot"))
     base = global_counts if global_counts is not None else counts
     f = base.groupBy(term).agg(F.sum("n").alias("_f"))
-    per_class = base.groupBy(*class_cols).agg(F.sum("n").alias("_ct"))
+    if not scope_cols and global_counts is None:
+        per_class = tot.withColumnRenamed("_tot", "_ct")        # same aggregate, no second pass
+    else:
+        per_class = base.groupBy(*class_cols).agg(F.sum("n").alias("_ct"))
     avg = per_class.agg(F.floor(F.avg("_ct")).alias("_A"))
     w = (counts.join(tot, keys).join(f, term).crossJoin(F.broadcast(avg))
                .withColumn("weight", (F.col("n") / F.col("_tot")) * F.log(F.lit(1.0) + F.col("_A") / F.col("_f"))))
