@@ -153,3 +153,52 @@ def test_exact_sample_and_dense_index(spark):
     idx = sorted(r["doc_index"] for r in filters.dense_index(df.orderBy("doc_id")).collect())
     assert idx == list(range(1000))
     assert filters.exact_sample(df, 5000, "doc_id").count() == 1000
+
+
+def test_grid_density_matches_brute_force(spark):
+    import math
+    import random
+    from topicflow.operators import density
+    rnd = random.Random(2)
+    pts = []
+    for cx, cy, n in ((0.0, 0.0, 40), (3.0, 3.0, 30), (0.0, 3.0, 5)):
+        pts += [(cx + rnd.gauss(0, 0.3), cy + rnd.gauss(0, 0.3)) for _ in range(n)]
+    pts += [(rnd.uniform(-2, 5), rnd.uniform(-2, 5)) for _ in range(15)]
+    rows = [(i, [x, y]) for i, (x, y) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    eps, min_pts, min_size = 0.25, 3, 10
+    got = {r["id"]: r["cluster"] for r in density.density_clusters(df, "v", eps, min_pts, min_size, "id", dims=2).collect()}
+    # brute force of the same definition
+    cell = {i: (math.floor(x / eps), math.floor(y / eps)) for i, (x, y) in enumerate(pts)}
+    count = {}
+    for c in cell.values():
+        count[c] = count.get(c, 0) + 1
+    dense = {c for c, n in count.items() if n >= min_pts}
+    comp, seen = {}, set()
+    for c in sorted(dense):
+        if c in seen:
+            continue
+        stack, members = [c], []
+        seen.add(c)
+        while stack:
+            a = stack.pop()
+            members.append(a)
+            for dx in (-1, 0, 1):
+                for dy in (-1, 0, 1):
+                    b = (a[0] + dx, a[1] + dy)
+                    if b in dense and b not in seen:
+                        seen.add(b)
+                        stack.append(b)
+        for m in members:
+            comp[m] = min(members)
+    groups = {}
+    for i, c in cell.items():
+        if c in comp:
+            groups.setdefault(comp[c], []).append(i)
+    expect_clusters = sorted(sorted(g) for g in groups.values() if len(g) >= min_size)
+    got_clusters = {}
+    for i, k in got.items():
+        if k != -1:
+            got_clusters.setdefault(k, []).append(i)
+    assert sorted(sorted(g) for g in got_clusters.values()) == expect_clusters
+    assert len(expect_clusters) >= 2

@@ -129,3 +129,29 @@ def m13_deduplicate_topics(spark, d):
     _, tv = _topic_vectors(spark, d)
     dd = V.deduplicate_topics(tv, 0.1)
     return dd.select(F.col("topic").cast("long").alias("topic"), F.size("members").cast("long").alias("n_members"))
+
+
+# --- grid density (M8 density form) ------------------------------------------------
+
+DENSITY_EPS, DENSITY_DIMS = 0.1, 5
+
+
+@register("m8_density_cells", f"""
+WITH {UNIT_SQL},
+c AS (SELECT array_to_string(list_transform(u[1:{DENSITY_DIMS}], lambda x: CAST(floor(x / {DENSITY_EPS}) AS BIGINT)), ',') AS cell_key FROM unit)
+SELECT cell_key, count(*) AS n FROM c GROUP BY cell_key
+""")
+def m8_density_cells(spark, d):
+    """Points per grid cell of side 0.1 on the first 5 unit-vector dimensions."""
+    from ..operators import density
+    e = emb(spark, d).select("vec_id", V.l2_normalise("embedding").alias("u"))
+    return density.cell_counts(e, "u", DENSITY_EPS, DENSITY_DIMS)
+
+
+@register("m8_density_clusters")
+def m8_density_clusters(spark, d):
+    """M7 -> grid density clusters on the 5 reduced dimensions (rows check)."""
+    from ..operators import density, models as M
+    e = emb(spark, d).select("vec_id", V.l2_normalise("embedding").alias("u"))
+    red = M.pca(e, "u", 5)
+    return density.density_clusters(red, "reduced", eps=0.15, min_pts=3, min_cluster_size=15, id_col="vec_id")
