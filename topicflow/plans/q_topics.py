@@ -63,8 +63,8 @@ def p11_topk_cut(spark, d):
 
 @register("p12_id_validation", """
 SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_distinct_ids,
-       sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS n_null_ids,
-       sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS n_null_texts,
+       CAST(sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null_ids,
+       CAST(sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null_texts,
        count(*) = count(DISTINCT doc_id) AND sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) = 0
          AND sum(CASE WHEN text IS NULL THEN 1 ELSE 0 END) = 0 AS valid
 FROM documents
