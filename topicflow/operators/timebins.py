@@ -8,7 +8,6 @@ left-closed and puts the maximum in bin n+1, so it is not used.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import coherence, ctfidf, filters, vocab
+from ..operators import coherence, ctfidf, filters
 from . import corpus as C
 from . import oracle as O
 from .registry import r6, register
