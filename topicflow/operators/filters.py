@@ -53,7 +53,7 @@ def hash_key(id_col: str, seed: int):
 
 
 def exact_sample(df: DataFrame, n: int, id_col: str = "doc_id", seed: int = 0,
-                 hex_digits: int = 3) -> DataFrame:
+                 hex_digits: int = 4) -> DataFrame:
     """Exactly ``n`` rows without replacement, seeded, original order kept.
 
     Rows are ranked by a seeded md5 key.  A per-bucket histogram on the
