@@ -1,19 +1,17 @@
 """Stop-word lists.
 
-The lists ship inside Spark's MLlib jar (the ones ``StopWordsRemover``
-loads).  They are read from the jar here so the same words reach Spark
-expressions and the SQL oracle without a JVM.  Catalan, Polish and Slovak
-have no list in Spark; pass them as a caller table ``(lang, term)``.
+The lists are package data (``stopword_lists/``): the same text files that
+Spark's ``StopWordsRemover`` loads, so Spark expressions and the SQL oracle
+share the words without a JVM and without Spark's jars.  Catalan, Polish and
+Slovak have no list there; pass them as a caller table ``(lang, term)``.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+from importlib import resources
 
-# ISO code -> Spark list name.
+# ISO code -> list name.
 SPARK_LISTS = {
     "da": "danish", "nl": "dutch", "en": "english", "fi": "finnish", "fr": "french",
     "de": "german", "hu": "hungarian", "it": "italian", "no": "norwegian",
@@ -24,33 +22,24 @@ SPARK_LISTS = {
 MULTI_LANGS = ("en", "es", "de", "it", "ca", "pt", "pl", "da", "ru", "sv", "sk", "nl")
 
 
-def _mllib_jar() -> str:
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found next to pyspark")
-    return jars[0]
-
-
 @functools.lru_cache(maxsize=None)
 def stopwords(lang: str) -> tuple[str, ...]:
     name = SPARK_LISTS.get(lang, lang)
-    with zipfile.ZipFile(_mllib_jar()) as z:
-        try:
-            raw = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8")
-        except KeyError:
-            return ()
-    return tuple(w for w in (x.strip() for x in raw.splitlines()) if w)
+    path = resources.files(__package__).joinpath("stopword_lists", f"{name}.txt")
+    if not path.is_file():
+        return ()
+    return tuple(w for w in (x.strip() for x in path.read_text(encoding="utf-8").splitlines()) if w)
 
 
 def available(langs) -> tuple[str, ...]:
     return tuple(l for l in langs if stopwords(l))
 
 
-def union(langs) -> tuple[str, ...]:
+def union(langs, extra: dict[str, tuple[str, ...]] | None = None) -> tuple[str, ...]:
+    """Words of all ``langs``; ``extra`` gives the lists this package lacks."""
     words: set[str] = set()
     for l in langs:
-        words.update(stopwords(l))
+        words.update(stopwords(l) or (extra or {}).get(l, ()))
     return tuple(sorted(words))
 
 

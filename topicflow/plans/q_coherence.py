@@ -65,7 +65,7 @@ def lr_sql(normalize: bool) -> str:
 
 
 def direct_sql(p: str, normalize: bool, name: str) -> str:
-    return (f"SELECT topic, round(avg({lr_sql(normalize)}), 6) AS {name} FROM {p}_pt "
+    return (f"SELECT topic, avg({lr_sql(normalize)}) AS {name} FROM {p}_pt "
             f"WHERE i < j GROUP BY topic")
 
 
@@ -81,7 +81,7 @@ def cv_ctes(p: str) -> str:
 
 
 def cv_select(p: str) -> str:
-    return f"""SELECT topic, round(avg(coalesce(dot / nullif(sqrt(n1) * sqrt(n2), 0), 0.0)), 6) AS cv
+    return f"""SELECT topic, avg(coalesce(dot / nullif(sqrt(n1) * sqrt(n2), 0), 0.0)) AS cv
 FROM {p}_pw JOIN {p}_sn USING (topic) GROUP BY topic"""
 
 
@@ -93,7 +93,7 @@ def ca_ctes(p: str) -> str:
 
 
 def ca_select(p: str) -> str:
-    return f"""SELECT d.topic, round(avg(coalesce(dot / nullif(sqrt(a.nn) * sqrt(b.nn), 0), 0.0)), 6) AS ca
+    return f"""SELECT d.topic, avg(coalesce(dot / nullif(sqrt(a.nn) * sqrt(b.nn), 0), 0.0)) AS ca
 FROM {p}_dots d JOIN {p}_nn a ON a.topic = d.topic AND a.i = d.i JOIN {p}_nn b ON b.topic = d.topic AND b.i = d.j
 GROUP BY d.topic"""
 
@@ -101,7 +101,7 @@ GROUP BY d.topic"""
 def cp_sql(p: str) -> str:
     pab = "coalesce(nab / nullif(nb, 0), 0.0)"
     panb = "coalesce((na - nab) / nullif(W - nb, 0), 0.0)"
-    return (f"SELECT topic, round(avg(coalesce(({pab} - {panb}) / nullif({pab} + {panb}, 0), 0.0)), 6) AS cp "
+    return (f"SELECT topic, avg(coalesce(({pab} - {panb}) / nullif({pab} + {panb}, 0), 0.0)) AS cp "
             f"FROM {p}_pt WHERE j < i GROUP BY topic")
 
 
@@ -134,7 +134,7 @@ def q_win_pairs_w110(spark, d):
 @register("q_npmi_source", f"""
 WITH {SRC},
 {win_ctes('w', 'corp', 'topics', 'sliding', 10)}
-{direct_sql('w', True, 'npmi')}
+SELECT topic, round(npmi, 6) AS npmi FROM ({direct_sql('w', True, 'npmi')})
 """)
 def q_npmi_source(spark, d):
     t = Q.npmi(_src_corpus(spark, d), C.source_topics(spark, d))
@@ -144,7 +144,7 @@ def q_npmi_source(spark, d):
 @register("q_uci_source", f"""
 WITH {SRC},
 {win_ctes('w', 'corp', 'topics', 'sliding', 10)}
-{direct_sql('w', False, 'uci')}
+SELECT topic, round(uci, 6) AS uci FROM ({direct_sql('w', False, 'uci')})
 """)
 def q_uci_source(spark, d):
     t = Q.uci(_src_corpus(spark, d), C.source_topics(spark, d))
@@ -155,7 +155,7 @@ def q_uci_source(spark, d):
 WITH {SRC},
 {win_ctes('w', 'corp', 'topics', 'sliding', 110)},
 {cv_ctes('w')}
-{cv_select('w')}
+SELECT topic, round(cv, 6) AS cv FROM ({cv_select('w')})
 """)
 def q_cv_source(spark, d):
     t = Q.cv(_src_corpus(spark, d), C.source_topics(spark, d))
@@ -166,7 +166,7 @@ def q_cv_source(spark, d):
 WITH {SRC},
 {win_ctes('w', 'corp', 'topics', 'centred', 5)},
 {ca_ctes('w')}
-{ca_select('w')}
+SELECT topic, round(ca, 6) AS ca FROM ({ca_select('w')})
 """)
 def q_ca_source(spark, d):
     t = Q.ca(_src_corpus(spark, d), C.source_topics(spark, d))
@@ -177,7 +177,7 @@ def q_ca_source(spark, d):
 WITH {SRC},
 {BENCH},
 {win_ctes('w', 'bench_long', 'topics', 'sliding', 70)}
-{cp_sql('w')}
+SELECT topic, round(cp, 6) AS cp FROM ({cp_sql('w')})
 """)
 def q_cp_benchmark(spark, d):
     ref = C.benchmark_corpus(spark, d)
@@ -188,7 +188,7 @@ def q_cp_benchmark(spark, d):
 @register("q_cp_source", f"""
 WITH {SRC},
 {win_ctes('w', 'corp', 'topics', 'sliding', 70)}
-{cp_sql('w')}
+SELECT topic, round(cp, 6) AS cp FROM ({cp_sql('w')})
 """)
 def q_cp_source(spark, d):
     t = Q.cp(_src_corpus(spark, d), C.source_topics(spark, d))
@@ -198,7 +198,7 @@ def q_cp_source(spark, d):
 @register("q_npmi_conversations", f"""
 WITH {CONV},
 {win_ctes('w', 'conv_long', 'ctopics', 'sliding', 10)}
-{direct_sql('w', True, 'npmi')}
+SELECT topic, round(npmi, 6) AS npmi FROM ({direct_sql('w', True, 'npmi')})
 """)
 def q_npmi_conversations(spark, d):
     conv = C.conversation_corpus(spark, d)

@@ -53,7 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not path:
-        path = tempfile.mkdtemp(prefix="topicflow-ckpt-")
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        path = tempfile.mkdtemp(prefix="topicflow-ckpt-")   # one machine only: local mode, tests
         spark.conf.set("spark.checkpoint.dir", path)
     try:
         spark.sparkContext.setCheckpointDir(path)
