@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from topicflow.llm import toxicity as T
 
-P = T.Params(per_class=300, epochs=4)
+P = T.Params(per_class=300)
 SMALL = "doc_id long, text string, score string, extra int"
 
 
