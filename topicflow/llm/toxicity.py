@@ -45,8 +45,8 @@ class Params:
     span: int = 8                  # words in a passage
     per_class: int = 2000          # bounds of the labelled sample: rows of each label,
     max_chars: int = 4000          # and the length a text may have to be learned from
-    epochs: int = 4
-    batch: int = 2048
+    steps: int = 160
+    batch: int = 2048              # passages in a step
     rate: float = 0.05
     seed: int = 7
 
@@ -135,31 +135,30 @@ def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Model:
     rng = np.random.default_rng(p.seed)
     theta = [rng.normal(0, 0.1, (len(chosen), p.dim)), rng.normal(0, 1, (p.dim, 2)), np.zeros(2)]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    step = 0
-    for _ in range(p.epochs):
-        order = rng.permutation(len(cut))
-        for start in range(0, len(order), p.batch):
-            part = [cut[k] for k in order[start:start + p.batch]]
-            y, size = np.array([x[1] for x in part]), np.array([len(x[0]) for x in part])
-            used, word = np.unique(np.concatenate([x[0] for x in part]), return_inverse=True)
-            bag, n = np.repeat(np.arange(len(part)), size), len(part)
-            grams = first[used + 1] - first[used]
-            spot = np.repeat(first[used] - np.cumsum(grams) + grams, grams) + np.arange(grams.sum())
-            owner, feature = np.repeat(np.arange(len(used)), grams), ids[spot]
-            emb, soft, bias = theta
-            words = _sum(owner, emb[feature], len(used)) * gram[used, None]
-            mean = _sum(bag, words[word], n) / size[:, None]
-            z = mean @ soft + bias
-            prob = np.exp(z - z.max(1, keepdims=True))
-            prob /= prob.sum(1, keepdims=True)
-            prob[np.arange(n), y] -= 1
-            prob /= n
-            back = _sum(word, (prob @ soft.T / size[:, None])[bag], len(used)) * gram[used, None]
-            step += 1
-            for k, g in enumerate((_sum(feature, back[owner], len(chosen)), mean.T @ prob, prob.sum(0))):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                theta[k] -= p.rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-7)
+    order = np.zeros(0, np.int64)
+    for step in range(1, p.steps + 1):
+        if not len(order):
+            order = rng.permutation(len(cut))
+        part, order = [cut[k] for k in order[:p.batch]], order[p.batch:]
+        y, size = np.array([x[1] for x in part]), np.array([len(x[0]) for x in part])
+        used, word = np.unique(np.concatenate([x[0] for x in part]), return_inverse=True)
+        bag, n = np.repeat(np.arange(len(part)), size), len(part)
+        grams = first[used + 1] - first[used]
+        spot = np.repeat(first[used] - np.cumsum(grams) + grams, grams) + np.arange(grams.sum())
+        owner, feature = np.repeat(np.arange(len(used)), grams), ids[spot]
+        emb, soft, bias = theta
+        words = _sum(owner, emb[feature], len(used)) * gram[used, None]
+        mean = _sum(bag, words[word], n) / size[:, None]
+        z = mean @ soft + bias
+        prob = np.exp(z - z.max(1, keepdims=True))
+        prob /= prob.sum(1, keepdims=True)
+        prob[np.arange(n), y] -= 1
+        prob /= n
+        back = _sum(word, (prob @ soft.T / size[:, None])[bag], len(used)) * gram[used, None]
+        for k, g in enumerate((_sum(feature, back[owner], len(chosen)), mean.T @ prob, prob.sum(0))):
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.99 * v[k] + 0.01 * g * g
+            theta[k] -= p.rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-7)
     emb, soft, bias = theta
     buckets = np.zeros(p.buckets)
     buckets[chosen] = emb @ (soft[:, 1] - soft[:, 0])
