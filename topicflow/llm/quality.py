@@ -36,9 +36,9 @@ X = ("x1", "x2", "x3", "x4", "x5")
 class Params:
     keep: float = 0.75
     steps: int = 4                 # concentration steps
-    cutoff: float = 0.99999
+    cutoff: float = 1 - 1e-9       # far tails: clean texts are not quite normal
     lean: int = 50
-    floors: tuple = (50, 25, 35, 35, 35)           # hundredths
+    floors: tuple = (50, 25, 35, 60, 60)           # hundredths
 
 
 def chi2_cdf(x: float, k: int) -> float:
