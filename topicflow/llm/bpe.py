@@ -41,8 +41,8 @@ NONE = np.iinfo(np.int32).max
 @dataclass(frozen=True)
 class Params:
     ranks: str = "byte_bpe_multi_50k.tiktoken"     # a file of public_tokenizers, or a path
-    block_chars: int = 24_000_000
-    memo: int = 1_000_000
+    block_chars: int = 8_000_000
+    memo: int = 500_000
 
 
 def rank_file(name: str) -> str:
