@@ -3,7 +3,7 @@
 Every element that starts a block, or carries a telling class or id, is a
 node that is either content or not.  A node potential scores what the node
 shows (kind, tag, own text, link share, sentence marks, share of the page); an
-edge potential for each kind of parent scores which labels go together from
+edge potential for each kind of parent and child scores which labels go together from
 parent to child.  Sum-product message passing, once upward and once downward,
 gives each node's exact marginal; the text of nodes more likely content than
 not is returned.
@@ -221,7 +221,12 @@ def features(p: Page) -> list[list[str]]:
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
-    edges: dict[str, tuple[float, float, float, float]]            # kind of parent -> potentials 00, 01, 10, 11 (parent, child)
+    edges: dict[str, tuple[float, float, float, float]]            # kind of edge -> potentials 00, 01, 10, 11 (parent, child)
+
+
+def _edge(p: Page, i: int) -> str:
+    """Kind of the edge from a node's parent: that of the parent, and whether the child looks unlike content."""
+    return p.kind[max(0, p.parent[i])] + ("-" if p.kind[i] == "neg" else "+")
 
 
 def marginals(p: Page, model: Model) -> list[float]:
@@ -230,19 +235,19 @@ def marginals(p: Page, model: Model) -> list[float]:
     up = [sum(w.get(f, 0.0) for f in fs) for fs in features(p)]
     n = len(up)
     sent = [0.0] * n
-    table = [model.edges[k] for k in p.kind]
+    table = [model.edges[_edge(p, i)] for i in range(n)]
 
     def message(odds: float, yes: float, no: float) -> float:
         """Log of the sum over the sender's two labels, finite for any odds."""
         return yes + odds if odds > 30 else no if odds < -30 else math.log(math.exp(no) + math.exp(odds + yes))
 
     for i in range(n - 1, 0, -1):                                  # children come after their parents
-        t = table[p.parent[i]]
+        t = table[i]
         sent[i] = message(up[i], t[3], t[2]) - message(up[i], t[1], t[0])
         up[p.parent[i]] += sent[i]
     out = up
     for i in range(1, n):
-        t = table[p.parent[i]]
+        t = table[i]
         above = out[p.parent[i]] - sent[i]
         out[i] += message(above, t[3], t[1]) - message(above, t[2], t[0])
     return out
@@ -344,14 +349,14 @@ def fit(pages: list[str], p: Params = Params()) -> Model:
     trees = labelled(pages, p)
     index: dict[str, int] = {}
     rows, y = [], []
-    counts = {k: np.full((2, 2), p.smooth) for k in KINDS}
+    counts = {k + side: np.full((2, 2), p.smooth) for k in KINDS for side in "+-"}
     for t in trees:
         label = [x or 0 for x in t.label]
         for i, fs in enumerate(features(t)):
             rows.append([index.setdefault(f, len(index)) for f in fs])
             y.append(label[i])
             if i:
-                counts[t.kind[t.parent[i]]][label[t.parent[i]], label[i]] += 1
+                counts[_edge(t, i)][label[t.parent[i]], label[i]] += 1
     rows, y = np.array(rows), np.array(y, float)
     w, m, v = np.zeros(len(index)), np.zeros(len(index)), np.zeros(len(index))
     for step in range(1, 151):

@@ -40,7 +40,7 @@ class Params:
     seeds: tuple = SEEDS
     longest_word: int = 20
     seed_count: int = 50           # pseudo-count of a seed among the words
-    alpha: float = 1.0
+    alpha: float = 0.1
 
 
 def parts(url: Column) -> tuple[Column, Column]:
