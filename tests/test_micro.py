@@ -202,3 +202,35 @@ def test_grid_density_matches_brute_force(spark):
             got_clusters.setdefault(k, []).append(i)
     assert sorted(sorted(g) for g in got_clusters.values()) == expect_clusters
     assert len(expect_clusters) >= 2
+
+
+def test_nmf_error_falls_and_keeps_large_ids(spark):
+    from topicflow.operators import models as M
+    rows = [(2 ** 40 + d, t, float(n)) for d in range(12) for t, n in (("a", 1 + d % 3), ("b", d % 2), ("c", 2 * (d % 2)), ("d%d" % (d % 4), 1)) if n]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, n double")
+    errors = [M.nmf_factors(counts, 3, max_iter=k, seed=1)[2][-1] for k in (0, 1, 2, 4)]
+    assert all(b <= a + 1e-9 for a, b in zip(errors, errors[1:]))
+    w, h, _ = M.nmf_factors(counts, 3, max_iter=2)
+    assert w.agg({"id": "min"}).first()[0] == 2 ** 40 and all(x >= 0 for r in h.collect() for x in r["f"])
+
+
+def test_density_labels_a_long_chain(spark):
+    from topicflow.operators.density import density_clusters, label_components
+    pts = spark.createDataFrame([(i, [float(i // 2), 0.0]) for i in range(600)], "id long, v array<double>")
+    out = density_clusters(pts, "v", eps=1.0, min_pts=2, min_cluster_size=2, id_col="id", dims=2)
+    assert out.select("cluster").distinct().count() == 1 and out.count() == 600
+    nodes = spark.createDataFrame([(i,) for i in range(40)], "v long")
+    pairs = [(i, i + 1) for i in range(40 - 1) if i != 19]
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "v long, u long")
+    got = {r["v"]: r["c"] for r in label_components(nodes, edges, "v", "u").collect()}
+    assert got == {i: 0 if i < 20 else 20 for i in range(40)}
+
+
+def test_topics_are_reduced_to_the_number_asked_for(spark):
+    from topicflow.operators import models as M
+    words = {0: "a a a b b c", 1: "a a b b c c", 2: "x x y y z", 3: "p q r", 4: "x y"}
+    counts = [(t, w, 1) for t, ws in words.items() for w in ws.split()]
+    counts = spark.createDataFrame(counts, "topic long, term string, one int").groupBy("topic", "term").count().withColumnRenamed("count", "n")
+    sizes = spark.createDataFrame([(0, 50), (1, 9), (2, 40), (3, 30), (4, 5)], "topic long, size long")
+    got = {r["topic"]: r["new_topic"] for r in M.reduce_topics(counts, sizes, 3).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2}

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import localize, materialise
+from ..session import pinned, materialise
 
 EPS = 1e-12
 
@@ -134,10 +134,10 @@ def window_stats(corpus: DataFrame, topics: DataFrame, keys: Sequence[str], kind
     own = occ is None
     if own:
         occ = materialise(topic_occurrences(corpus, topics, keys, tokens))
-    totals = localize(window_totals(occ, keys, kind, size))
-    singles = localize(single_counts(occ, keys, kind, size))
+    totals = pinned(window_totals(occ, keys, kind, size))
+    singles = pinned(single_counts(occ, keys, kind, size))
     pairs = rank_pairs(topics, keys)
-    pc = localize(pair_counts(occ, pairs, keys, kind, size, singles))
+    pc = pinned(pair_counts(occ, pairs, keys, kind, size, singles))
     if own:
         occ.unpersist()
     return WindowStats(totals, singles, pc)
@@ -284,7 +284,7 @@ def score_summary(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = ()
 
     C_A and C_P take ``reference`` (any corpus) when given.
     """
-    topics = localize(topics.filter(F.col("rank") < topk))
+    topics = pinned(topics.filter(F.col("rank") < topk))
     ref = reference if reference is not None else corpus
     # one occurrence table per corpus serves every window definition
     occ = materialise(topic_occurrences(corpus, topics, keys, tokens))
@@ -305,7 +305,7 @@ def score_summary(corpus: DataFrame, topics: DataFrame, keys: Sequence[str] = ()
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, list(keys), "full") if keys else out.crossJoin(p)
-    out = localize(out)
+    out = pinned(out)
     occ.unpersist()
     occ_ref.unpersist()
     return out

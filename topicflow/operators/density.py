@@ -23,7 +23,33 @@ from .vectors import as_double
 
 
 def cell_of(vec, eps: float, dims: int):
-    return F.transform(F.slice(as_double(vec), 1, dims), lambda x: F.floor(x / eps))
+    """Cell coordinates; a vector of another length than ``dims`` is an error, not cut."""
+    v = as_double(vec)
+    whole = F.when(F.size(v) == dims, v).otherwise(F.raise_error(F.lit(f"vectors must have {dims} values")))
+    return F.transform(whole, lambda x: F.floor(x / eps))
+
+
+def label_components(nodes: DataFrame, edges: DataFrame, v: str, u: str) -> DataFrame:
+    """``(v, c)``: the least node of each component over undirected ``edges (v, u)``.
+
+    Every round takes the least label among the neighbours and then the label
+    of that label (pointer jumping), until no label changes, so the rounds
+    grow with the logarithm of the longest path.
+    """
+    lab = cut_lineage(nodes.select(v, F.col(v).alias("c")))
+    while True:
+        near = (edges.join(lab.select(F.col(v).alias(u), F.col("c").alias("cn")), u)
+                     .groupBy(v).agg(F.min("cn").alias("m")))
+        step = lab.join(near, v, "left").select(v, F.col("c").alias("c0"), F.least("c", F.coalesce("m", "c")).alias("c1"))
+        # A node also takes what its old label's node found: whole trees move at once.
+        found = step.groupBy("c0").agg(F.min("c1").alias("c2"))
+        hook = step.join(found, "c0").select(v, "c0", F.least("c1", "c2").alias("c1"))
+        jump = hook.select(F.col(v).alias("c1"), F.col("c1").alias("c2"))
+        new = cut_lineage(hook.join(jump, "c1", "left").select(v, F.least("c1", F.coalesce("c2", "c1")).alias("c"), "c0"))
+        changed = new.where("c <> c0").limit(1).count()
+        lab = new.select(v, "c")
+        if not changed:
+            return lab
 
 
 def _key(cell_col):
@@ -37,7 +63,7 @@ def cell_counts(df: DataFrame, vec: str, eps: float, dims: int = 5) -> DataFrame
 
 
 def density_clusters(df: DataFrame, vec: str, eps: float, min_pts: int, min_cluster_size: int,
-                     id_col: str, dims: int = 5, max_iter: int = 100, checkpoint_every: int = 5) -> DataFrame:
+                     id_col: str, dims: int = 5) -> DataFrame:
     """``(id, cluster)``; cluster = smallest dense-cell key of the component
     turned into a dense integer id (largest cluster first), noise = -1."""
     pts = materialise(df.select(id_col, cell_of(vec, eps, dims).alias("cell"))
@@ -49,16 +75,7 @@ def density_clusters(df: DataFrame, vec: str, eps: float, min_pts: int, min_clus
     nb = (dense.select("cell_key", "cell", F.explode(off).alias("_o"))
                .select("cell_key", _key(F.zip_with("cell", "_o", lambda a, b: a + b)).alias("nb_key")))
     edges = materialise(nb.join(dense.select(F.col("cell_key").alias("nb_key")), "nb_key"))
-    lab = dense.select("cell_key", F.col("cell_key").alias("c"))
-    for i in range(max_iter):
-        m = (edges.join(lab.select(F.col("cell_key").alias("nb_key"), F.col("c").alias("cn")), "nb_key")
-                  .groupBy("cell_key").agg(F.min("cn").alias("m")))
-        new = lab.join(m, "cell_key", "left").select("cell_key", F.least("c", F.coalesce("m", "c")).alias("c"))
-        new = cut_lineage(new) if (i + 1) % checkpoint_every == 0 else materialise(new)
-        changed = new.join(lab.withColumnRenamed("c", "c0"), "cell_key").filter(F.col("c") != F.col("c0")).limit(1).count()
-        lab = new
-        if changed == 0:
-            break
+    lab = label_components(dense.select("cell_key"), edges, "cell_key", "nb_key")
     comp = lab.join(dense.select("cell_key", "n"), "cell_key")
     sizes = comp.groupBy("c").agg(F.sum("n").alias("size")).filter(F.col("size") >= min_cluster_size)
     from pyspark.sql import Window

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import localize, small
+from ..session import pinned
 
 
 def round3(col) -> F.Column:
@@ -34,12 +34,12 @@ def flatten(records: DataFrame, combine_models: bool = False) -> DataFrame:
     """
     scores = F.coalesce(F.col("Scores"), F.col("Score Summary")) if "Score Summary" in records.columns else F.col("Scores")
     df = records.withColumn("_scores", scores)
-    if combine_models:
+    if combine_models or "time_slice" in df.columns:       # time-sliced runs keep their model's name
         model = F.col("Model")
     else:
         files = df.select("folder", "file").distinct()
         files = files.withColumn("_fidx", F.dense_rank().over(Window.partitionBy("folder").orderBy("file")) - 1)
-        df = df.join(small(localize(files)), ["folder", "file"])
+        df = df.join(files, ["folder", "file"])
         model = F.concat(F.col("Model"), F.lit("_"), F.col("_fidx").cast("string"))
     extra = ["time_slice"] if "time_slice" in df.columns else []
     return df.select(
@@ -66,7 +66,7 @@ def dataset_model_means(results: DataFrame) -> DataFrame:
 def model_order(means: DataFrame, dataset: str) -> DataFrame:
     """Models ordered by ascending npmi on ``dataset`` (``order`` 0-based, ties by model)."""
     sel = means.filter(F.col("Dataset") == dataset).select("Model", "npmi")
-    sel = localize(sel)                             # one row per model
+    sel = pinned(sel)                             # one row per model
     return sel.withColumn("order", (F.row_number().over(Window.orderBy("npmi", "Model")) - 1).cast("long")).select("Model", "order")
 
 
@@ -125,8 +125,12 @@ def label_models(df: DataFrame, labels: Mapping[str, str], col: str = "model") -
     return df.withColumn("label", lab)
 
 
-def axis_range(df: DataFrame, col: str, step: float, start: float | None = None) -> DataFrame:
-    """``(lo, hi, ticks)`` with ticks from min (or ``start``) to max+1 by ``step``."""
+def axis_range(df: DataFrame, col: str, step: float, start: float | None = None, inclusive: bool = True) -> DataFrame:
+    """``(lo, hi, ticks)`` with ticks from min (or ``start``) by ``step``, up
+    to the maximum or, unless ``inclusive``, to before it; none where the
+    maximum lies below the start."""
     lo = F.lit(start) if start is not None else F.min(col)
     a = df.agg(lo.cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    return a.withColumn("ticks", F.expr(f"sequence(cast(lo as bigint), cast(hi as bigint), cast({step} as bigint))"))
+    last = "cast(hi as bigint)" if inclusive else "cast(ceil(hi) as bigint) - 1"
+    ticks = F.expr(f"CASE WHEN cast(lo as bigint) <= {last} THEN sequence(cast(lo as bigint), {last}, cast({step} as bigint)) ELSE array() END")
+    return a.withColumn("ticks", ticks)

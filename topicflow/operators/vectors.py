@@ -116,25 +116,12 @@ def topic_pairs(topics: DataFrame, min_cos: float) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", cos.alias("cos")).filter(F.col("cos") >= min_cos)
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "topic", max_iter: int = 50) -> DataFrame:
-    """Connected components by min-label propagation: ``(node, component)``.
-
-    For the bounded topic graph each round is localized; a distributed
-    graph would checkpoint every few rounds instead.
-    """
-    from ..session import localize
-    lab = localize(nodes.select(F.col(node).alias("v"), F.col(node).alias("c")))
+def components(nodes: DataFrame, edges: DataFrame, node: str = "topic") -> DataFrame:
+    """Connected components: ``(node, component)``, the component named by its least node."""
+    from .density import label_components
     und = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(
         edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    und = localize(und)
-    for _ in range(max_iter):
-        nb = und.join(lab.withColumnRenamed("v", "u").withColumnRenamed("c", "cu"), "u").groupBy("v").agg(F.min("cu").alias("m"))
-        new = lab.join(nb, "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"))
-        new = localize(new)
-        changed = new.join(lab.withColumnRenamed("c", "c0"), "v").filter(F.col("c") != F.col("c0")).limit(1).count()
-        lab = new
-        if changed == 0:
-            break
+    lab = label_components(nodes.select(F.col(node).alias("v")), und, "v", "u")
     return lab.select(F.col("v").alias(node), F.col("c").alias("component"))
 
 

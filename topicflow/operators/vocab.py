@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .filters import dense_index
 
 
@@ -75,37 +76,16 @@ def restrict_to_vocabulary(df: DataFrame, vocab: DataFrame, id_col: str = "doc_i
 
 
 def restrict_by_df_bounds(df: DataFrame, min_df: float = 0.00002, max_df: float = 0.99,
-                          tokens: str = "tokens", id_col: str = "doc_id", keep: Sequence[str] = (),
-                          limit: int = 100_000) -> DataFrame:
-    """V1 + V4 with a size-checked plan choice.
-
-    The terms *outside* the document-frequency bounds are usually few
-    (very common words, and rare words only when ``min_df * n > 1``).  When
-    at most ``limit`` such terms exist they are filtered out of the token
-    arrays in place (hash-set lookup, no shuffle, partitioning kept);
-    otherwise the explode / semi-join / regroup plan runs.
-    """
+                          tokens: str = "tokens", id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """V1 + V4: tokens of terms inside the document-frequency bounds.  One plan
+    at every size; Spark broadcasts the vocabulary where it is small at run time."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     dfreq = distinct_terms_per_doc(df, tokens).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    bounded = dfreq.crossJoin(F.broadcast(n))
     inside = (F.col("df") >= F.lit(min_df) * F.col("_n")) & (F.col("df") <= F.lit(max_df) * F.col("_n"))
-    excluded = bounded.filter(~inside).select("term").limit(limit + 1).collect()
-    if len(excluded) <= limit:
-        words = [r["term"] for r in excluded]
-        out = df.select(id_col, *keep, (F.filter(tokens, lambda t: ~t.isin(words)) if words else F.col(tokens)).alias(tokens))
-        return out.filter(F.size(tokens) > 0)
-    voc = bounded.filter(inside).select("term")
+    voc = dfreq.crossJoin(n).filter(inside).select("term")                   # n is one row
     return restrict_to_vocabulary(df, voc, id_col, tokens, keep)
 
 
-def restrict_to_terms(df: DataFrame, terms: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    """V4 for a vocabulary of bounded, known size: a hash-set filter in place,
-    no shuffle."""
-    terms = list(terms)
-    out = df.withColumn(tokens, F.filter(tokens, lambda t: t.isin(terms)))
-    return out.filter(F.size(tokens) > 0)
-
-
 def dictionary(vocab: DataFrame, term: str = "term") -> DataFrame:
     """V5: dense ``term_id`` in term order (range-partitioned sort + offsets)."""
     return dense_index(vocab.select(term).distinct().orderBy(term), "term_id").select(term, "term_id")
@@ -113,8 +93,8 @@ def dictionary(vocab: DataFrame, term: str = "term") -> DataFrame:
 
 def bag_of_words(long: DataFrame, dict_df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """V6: ``(doc_id, term_id, n)``."""
-    return (long.join(dict_df, "term")
-                .groupBy(id_col, "term_id").agg(F.count(F.lit(1)).alias("n")))
+    counts = long.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))     # before the join: hot terms shrink
+    return counts.join(dict_df, "term").select(id_col, "term_id", "n")
 
 
 def tfidf(long: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -122,15 +102,13 @@ def tfidf(long: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     ``tf * (ln((1+n)/(1+df)) + 1)``; n = documents, df = documents with the term.
     """
-    tf = long.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = tf.agg(F.count_distinct(id_col).alias("_n"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    w = (tf.join(dfreq, "term").crossJoin(F.broadcast(n))
-           .withColumn("_raw", F.col("tf") * (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1)))
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return (w.join(norms, id_col)
-             .select(id_col, "term", F.col("tf").cast("long").alias("tf"),
-                     (F.col("_raw") / F.col("_norm")).alias("weight")))
+    tf = materialise(long.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    n = tf.select(id_col).distinct().agg(F.count(F.lit(1)).alias("_n"))
+    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(n)
+    idf = dfreq.select("term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
+    w = tf.join(idf, "term").withColumn("_raw", F.col("tf") * F.col("_idf"))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(id_col)))
+    return w.select(id_col, "term", F.col("tf").cast("long").alias("tf"), (F.col("_raw") / norm).alias("weight"))
 
 
 def metadata(all_docs: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import stopwords
 from ..functions.tokens import remove_words, vocab_tokens
 from ..operators import ctfidf, filters, vocab
-from ..session import localize, materialise, spread
+from ..session import pinned, materialise, spread
 from ..sources.tables import read_table
 
 TOPK = 10
@@ -42,7 +42,7 @@ def _memo(spark, key, build):
 
 def documents(spark: SparkSession, data_dir: str) -> DataFrame:
     docs = read_table(spark, data_dir, "documents").select("doc_id", "text", "lang", "source")
-    return spread(docs, "doc_id")
+    return spread(docs)
 
 
 def tokenise(df: DataFrame, keep=()) -> DataFrame:
@@ -63,7 +63,7 @@ def benchmark_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def conversation_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
     c = read_table(spark, data_dir, "conversations").select(
-        (F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"), "role", "text")
+        F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "role", "text")
     return tokenise(c, ("role",))
 
 
@@ -103,5 +103,5 @@ def source_topics(spark: SparkSession, data_dir: str, k: int = TOPK) -> DataFram
     """Bounded (classes x k rows); persisted because scoring joins it many times."""
     k_ = (id(spark), ("source_topics", data_dir, k))
     if k_ not in _MEMO:
-        _MEMO[k_] = localize(class_topics(restricted_long(spark, data_dir), "source", k))
+        _MEMO[k_] = pinned(class_topics(restricted_long(spark, data_dir), "source", k))
     return _MEMO[k_]

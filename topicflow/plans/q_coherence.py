@@ -26,7 +26,7 @@ corp AS (SELECT doc_id, term, pos, n FROM rlong)"""
 BENCH = f"""{O.tokenise_cte('bench', 'SELECT item_id AS doc_id, text FROM benchmark')},
 {O.long_cte('bench_long', 'bench')}"""
 
-CONV = f"""{O.tokenise_cte('conv', 'SELECT conv_id * 1000000 + turn AS doc_id, role, text FROM conversations', 'role')},
+CONV = f"""{O.tokenise_cte('conv', 'SELECT concat(conv_id, chr(58), turn) AS doc_id, role, text FROM conversations', 'role')},
 {O.long_cte('conv_long', 'conv', 'role')},
 {O.class_topics_ctes('role', 'ctopics', src='conv_long')}"""
 

@@ -23,7 +23,7 @@ ORDER_DATASET = DATASETS[-2]       # second-to-last dataset orders the models
 
 
 def run_log(spark, d):
-    e = spread(read_table(spark, d, "events"), "event_id")
+    e = read_table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     nr = ((F.floor(F.col("value") / 100) + 1) * 10).cast("long").cast("string")
     et = F.col("event_type")
@@ -156,7 +156,7 @@ def a11_band_series(spark, d):
 
 
 def computation_log(spark, d):
-    e = spread(read_table(spark, d, "events"), "event_id")
+    e = read_table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     return e.select(F.concat("event_type", F.lit(".csv")).alias("model"), (k * 250).cast("double").alias("vocab_size"),
                     F.col("value").alias("time"))
@@ -185,11 +185,11 @@ WITH {RUNLOG_SQL}, {COMP_SQL}
 SELECT 'nr_topics' AS axis, min(nr_topics)::DOUBLE AS lo, max(nr_topics)::DOUBLE AS hi,
        array_to_string(range(CAST(min(nr_topics) AS BIGINT), CAST(max(nr_topics) AS BIGINT) + 1, 10), ',') AS ticks FROM flat
 UNION ALL
-SELECT 'vocab_size', 2500.0, max(vocab_size), array_to_string(range(2500, CAST(max(vocab_size) AS BIGINT) + 1, 2500), ',') FROM comp
+SELECT 'vocab_size', 2500.0, max(vocab_size), array_to_string(range(2500, CAST(ceil(max(vocab_size)) AS BIGINT), 2500), ',') FROM comp
 """)
 def a14_axis_range(spark, d):
     a = R.axis_range(R.flatten(run_log(spark, d), combine_models=True), "nr_topics", 10).withColumn("axis", F.lit("nr_topics"))
-    b = R.axis_range(computation_log(spark, d), "vocab_size", 2500, start=2500).withColumn("axis", F.lit("vocab_size"))
+    b = R.axis_range(computation_log(spark, d), "vocab_size", 2500, start=2500, inclusive=False).withColumn("axis", F.lit("vocab_size"))
     return a.unionByName(b).select("axis", "lo", "hi", F.array_join(F.col("ticks").cast("array<string>"), ",").alias("ticks"))
 
 

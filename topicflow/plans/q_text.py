@@ -20,7 +20,7 @@ MARKERS = " fooBar &gt note !! . product received for free. heeelp (aside) a*b *
 
 
 def _marked(spark, d):
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.concat("text", F.lit(MARKERS)).alias("s"))
 
 
@@ -113,7 +113,7 @@ SELECT doc_id, lang AS detected_lang, hits FROM hits
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) = 1
 """)
 def t17_language_vote(spark, d):
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     toks = docs.select("doc_id", K.extract(F.lower("text"), LETTER_TOKENS).alias("tokens"))
     return language.vote(toks, langs=VOTE_LANGS)
 
@@ -121,7 +121,7 @@ def t17_language_vote(spark, d):
 @register("k12_sentence_english")
 def k12_sentence_english(spark, d):
     """f_base chain, then null unless the stop-word vote says English."""
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     s = docs.select("doc_id", T.base_chain("text").alias("sentence"))
     toks = s.select("doc_id", K.word_tokenize("sentence").alias("tokens"))
     det = language.vote(toks, langs=VOTE_LANGS)
@@ -136,7 +136,7 @@ SELECT doc_id, array_to_string(list_filter(string_split_regex({SQL_STEPS['t15'](
 FROM documents
 """)
 def k1_word_tokenize(spark, d):
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     t = docs.select("doc_id", K.word_tokenize(T.t15_ascii_letters(F.lower("text"))).alias("t"))
     return t.select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n_tokens"))
 
@@ -146,7 +146,7 @@ SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[ \\t\\n]+'), la
 FROM documents
 """)
 def k2_alpha_filter(spark, d):
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     toks = F.split(F.lower("text"), "[ \t\n]+")
     return docs.select("doc_id", F.size(K.alpha_only(toks)).cast("long").alias("n_alpha"))
 
@@ -160,7 +160,7 @@ SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '{K.V
 FROM documents
 """)
 def k5_multilang_stopwords(spark, d):
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     t = K.remove_words(K.vocab_tokens("text"), stopwords.union(MULTI))
     return docs.select("doc_id", F.array_join(t, " ").alias("tokens"))
 
@@ -178,11 +178,11 @@ def k6_english_stopwords(spark, d):
 
 
 @register("k10_simple_tokenize", f"""
-SELECT conv_id * 1000000 + turn AS doc_id, array_to_string({O.simple_tokenize('text')}, ' ') AS tokens FROM conversations
+SELECT concat(conv_id, chr(58), turn) AS doc_id, array_to_string({O.simple_tokenize('text')}, ' ') AS tokens FROM conversations
 """)
 def k10_simple_tokenize(spark, d):
     c = read_table(spark, d, "conversations")
-    return c.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"),
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"),
                     F.array_join(K.simple_tokenize("text"), " ").alias("tokens"))
 
 
@@ -190,17 +190,17 @@ def k10_simple_tokenize(spark, d):
 SELECT page_id, array_to_string({O.simple_tokenize(f"regexp_replace(html, '{K.TAG}', '', 'g')")}, ' ') AS tokens FROM pages
 """)
 def k11_markup_tokenize(spark, d):
-    p = spread(read_table(spark, d, "pages").select("page_id", "html"), "page_id")
+    p = read_table(spark, d, "pages").select("page_id", "html")
     return p.select("page_id", F.array_join(K.markup_tokenize("html"), " ").alias("tokens"))
 
 
 @register("p7_drop_empty", f"""
-SELECT conv_id * 1000000 + turn AS doc_id, len({O.simple_tokenize('text')}) AS n_tokens FROM conversations
+SELECT concat(conv_id, chr(58), turn) AS doc_id, len({O.simple_tokenize('text')}) AS n_tokens FROM conversations
 WHERE len({O.simple_tokenize('text')}) > 0
 """)
 def p7_drop_empty(spark, d):
     c = read_table(spark, d, "conversations")
-    t = c.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"), K.simple_tokenize("text").alias("tokens"))
+    t = c.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), K.simple_tokenize("text").alias("tokens"))
     return filters.drop_empty(t).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coherence as Q
 from ..operators import timebins as TB
-from ..session import localize, spread
+from ..session import pinned, spread
 from ..sources.tables import read_table
 from . import corpus as C
 from . import oracle as O
@@ -21,7 +21,7 @@ N_BINS_EVENTS, N_SLICES, SLICE_K = 10, 4, 5
 
 
 def _events_us(spark, d):
-    e = spread(read_table(spark, d, "events"), "event_id")
+    e = read_table(spark, d, "events")
     return e.select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
 
 
@@ -138,7 +138,7 @@ def _o6_sql() -> str:
 @register("o6_per_slice_scores", _o6_sql())
 def o6_per_slice_scores(spark, d):
     corpus = C.restricted_corpus(spark, d).select("doc_id", "tokens")
-    topics = localize(_tot(spark, d).select("time_slice", "topic", "rank", "term"))
+    topics = pinned(_tot(spark, d).select("time_slice", "topic", "rank", "term"))
     keys = ["time_slice"]
     n = Q.mean_over_topics(Q.npmi(corpus, topics, keys), keys, "npmi")
     dv = Q.diversity(topics, keys, SLICE_K)

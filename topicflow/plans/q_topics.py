@@ -126,7 +126,7 @@ def q_uniq_source(spark, d):
 
 
 @register("s1_load_docs_registry", f"""
-WITH {O.tokenise_cte('conv', 'SELECT conv_id * 1000000 + turn AS doc_id, role, text FROM conversations', 'role')}
+WITH {O.tokenise_cte('conv', 'SELECT concat(conv_id, chr(58), turn) AS doc_id, role, text FROM conversations', 'role')}
 SELECT doc_id, role, len(tokens) AS n_tokens FROM conv
 """)
 def s1_load_docs_registry(spark, d):

@@ -16,7 +16,7 @@ from .registry import r6, register
 
 
 def emb(spark, d):
-    return spread(read_table(spark, d, "embeddings"), "vec_id")
+    return read_table(spark, d, "embeddings")
 
 
 def _long(df, id_cols, vec):
@@ -138,14 +138,17 @@ DENSITY_EPS, DENSITY_DIMS = 0.1, 5
 
 @register("m8_density_cells", f"""
 WITH {UNIT_SQL},
-c AS (SELECT array_to_string(list_transform(u[1:{DENSITY_DIMS}], lambda x: CAST(floor(x / {DENSITY_EPS}) AS BIGINT)), ',') AS cell_key FROM unit)
+c AS (SELECT array_to_string(list_transform(range({DENSITY_DIMS}), lambda j: CAST(floor(list_sum(list_filter(u, lambda x, i: (i - 1) % {DENSITY_DIMS} = j)) / {DENSITY_EPS}) AS BIGINT)), ',') AS cell_key FROM unit)
 SELECT cell_key, count(*) AS n FROM c GROUP BY cell_key
 """)
 def m8_density_cells(spark, d):
-    """Points per grid cell of side 0.1 on the first 5 unit-vector dimensions."""
+    """Points per grid cell of side 0.1 on a 5-dimensional projection of all
+    64 unit-vector values (each dimension sums every fifth value)."""
     from ..operators import density
     e = emb(spark, d).select("vec_id", V.l2_normalise("embedding").alias("u"))
-    return density.cell_counts(e, "u", DENSITY_EPS, DENSITY_DIMS)
+    proj = F.transform(F.sequence(F.lit(0), F.lit(DENSITY_DIMS - 1)), lambda j: F.aggregate(
+        F.filter("u", lambda x, i: i % DENSITY_DIMS == j), F.lit(0.0), lambda a, x: a + x))
+    return density.cell_counts(e.select("vec_id", proj.alias("p")), "p", DENSITY_EPS, DENSITY_DIMS)
 
 
 @register("m8_density_clusters")

@@ -32,7 +32,7 @@ def v2_vocab_top2000(spark, d):
 
 
 @register("v3_vocab_min_count_conversations", f"""
-WITH {O.tokenise_cte('conv', 'SELECT conv_id * 1000000 + turn AS doc_id, text FROM conversations')}
+WITH {O.tokenise_cte('conv', 'SELECT concat(conv_id, chr(58), turn) AS doc_id, text FROM conversations')}
 SELECT term, count(*) AS n FROM (SELECT unnest(tokens) AS term FROM conv) GROUP BY term HAVING count(*) > 20
 """)
 def v3_vocab_min_count_conversations(spark, d):

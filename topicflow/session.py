@@ -7,9 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a side may hold before we hand the join strategy back to AQE.
-BROADCAST_ROW_LIMIT = 2_000_000
-
 
 def get_spark(master: str | None = None, app: str = "topicflow",
               shuffle_partitions: int | None = None,
@@ -76,21 +73,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
-    """Hash-partition a document table on ``key`` so per-row work is spread.
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks for a scan of fewer splits than cores (small files).
 
-    Single-file Parquet inputs scan as one or two tasks; regex chains over
-    long texts then run on one core.  The partition count never drops
-    below the scan's own split count (which grows with the data), and the
-    hash layout on ``doc_id`` is reused by later per-document regrouping.
+    An input with enough splits keeps them: nothing is shuffled.
     """
-    spark = df.sparkSession
-    try:
-        scan_parts = df.rdd.getNumPartitions()
-    except Exception:
-        scan_parts = 1
-    n = max(scan_parts, int(spark.sparkContext.defaultParallelism) * factor)
-    return df.repartition(n, key) if key else df.repartition(n)
+    cores = int(df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -102,23 +91,9 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast hint only for a frame ``localize`` proved small (a local
-    relation); a frame that failed the size check keeps AQE's choice."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if getattr(df, "_tf_local", False) else df
-
-
-def localize(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """Bring a frame whose size is bounded by parameters (topics x words,
-    classes, grid points) into a local relation, cutting its lineage.
-
-    The bound is checked: more than ``limit`` rows keeps it distributed
-    (persisted) instead.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return materialise(df)
-    out = df.sparkSession.createDataFrame(rows, df.schema)
-    out._tf_local = True
+def pinned(df: DataFrame) -> DataFrame:
+    """Persist and fill: later plans start from the stored rows and know their
+    size, so joins choose their side by it."""
+    out = materialise(df)
+    out.count()
     return out

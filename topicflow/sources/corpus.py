@@ -106,4 +106,4 @@ def load_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def read_embeddings(spark: SparkSession, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Precomputed vectors keyed by id (encoding happens once, upstream)."""
-    return spread(spark.read.parquet(path).select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("embedding")), "doc_id")
+    return spread(spark.read.parquet(path).select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("embedding")))
