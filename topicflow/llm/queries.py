@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .common import read_table
 
 QUERIES: dict = {}
@@ -37,7 +38,7 @@ def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup(read_table(spark, d, "documents"))
 
 
-@query("op5_decontamination")
+@query("op5_decontamination", sql.decontamination())
 def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
     from .decontam import decontaminate
     return decontaminate(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
@@ -67,7 +68,7 @@ def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return judge(read_table(spark, d, "pages"))
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", sql.quality())
 def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     from .quality import quality
     return quality(read_table(spark, d, "documents"))
