@@ -234,3 +234,58 @@ def test_topics_are_reduced_to_the_number_asked_for(spark):
     sizes = spark.createDataFrame([(0, 50), (1, 9), (2, 40), (3, 30), (4, 5)], "topic long, size long")
     got = {r["topic"]: r["new_topic"] for r in M.reduce_topics(counts, sizes, 3).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2}
+
+
+def test_phrase_repeat_by_line_is_the_whole_pattern(spark):
+    import random
+    from pyspark.sql import functions as F
+    from topicflow.functions.text import t12_phrase_repeat
+    r = random.Random(1)
+    rows = [("".join(r.choice("ab \n") for _ in range(r.randint(0, 30))),) for _ in range(3000)] + [(None,), ("",), ("\n\n\n",), ("banana\nbanana",)]
+    df = spark.createDataFrame(rows, "s string").select("s", t12_phrase_repeat("s").alias("a"), F.regexp_replace("s", r"(?d)(.{2,}?)\1+", "$1").alias("b"))
+    assert df.where("not (a <=> b)").count() == 0
+
+
+def test_preparation_with_every_stage_and_sampling(spark):
+    from topicflow.plans import preprocess as P
+    text = "The quick brown foxes were running over the very lazy dogs and the other animals in this garden"
+    docs = spark.createDataFrame([(i, text if i % 2 else "Der Hund und die Katze sind nicht in dem Haus") for i in range(8)] + [(9, None)], "doc_id long, text string")
+    lex = spark.createDataFrame([("over", "IN", "ADP", "over"), ("foxes", "NNS", "NOUN", "fox"), ("very", "RB", "ADV", "very"), ("garden", "NN", "X", "garden")],
+                                "term string, pos string, upos string, lemma string")
+    out = P.preprocess(docs, skip=("t5", "t12"), stop=("the", "and", "in", "this"), nouns=lex, lemmas=lex).collect()
+    assert sorted(r["source_index"] for r in out) == [1, 3, 5, 7]
+    assert all("fox" in r["tokens"] and not {"over", "very", "garden", "the"} & set(r["tokens"]) and "lazy" in r["tokens"] for r in out)
+    drawn = P.preprocess(docs, samp_size=20, skip=("t5", "t12")).collect()
+    assert len({r["doc_id"] for r in drawn}) == len(drawn) and {r["source_index"] for r in drawn} <= {1, 3, 5, 7}
+
+
+def test_dataset_round_trip_of_a_prepared_corpus(spark, tmpdir_path):
+    from topicflow.plans import preprocess as P
+    from topicflow.sources.corpus import load_dataset
+    docs = spark.createDataFrame([(i, f"word alpha beta gamma{'x' * i} delta") for i in range(5)], "doc_id long, text string")
+    prep = docs.selectExpr("doc_id", "split(text, ' ') AS tokens")
+    kept = P.tokenised_dataset(prep, tmpdir_path + "/ds", min_df=0.3, max_df=1.0)
+    back = load_dataset(spark, tmpdir_path + "/ds")
+    assert back["corpus"].count() == kept.count() == 5
+    terms = {r["term"] for r in back["vocabulary"].collect()}
+    assert not any(t.startswith("gamma") and len(t) > 5 for t in terms)
+
+
+def test_ids_are_validated(spark):
+    import pytest
+    from topicflow.operators.filters import require_valid_ids
+    good = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert require_valid_ids(good) is good
+    for rows, schema in (([(1, "a"), (1, "b")], "doc_id long, text string"), ([(None, "a")], "doc_id long, text string"),
+                         ([(1, None)], "doc_id long, text string"), ([(1.5, "a")], "doc_id double, text string"), ([(1, 2)], "doc_id long, text long")):
+        with pytest.raises(ValueError):
+            require_valid_ids(spark.createDataFrame(rows, schema))
+
+
+def test_stop_word_lists_need_no_jar():
+    import pytest
+    from topicflow.functions import stopwords
+    assert len(stopwords.stopwords("en")) > 150 and stopwords.stopwords("ca") == ()
+    with pytest.raises(KeyError):
+        stopwords.union(("en", "ca"))
+    assert "amb" in stopwords.union(("ca",), {"ca": ("amb",)})

@@ -36,10 +36,11 @@ def available(langs) -> tuple[str, ...]:
 
 
 def union(langs, extra: dict[str, tuple[str, ...]] | None = None) -> tuple[str, ...]:
-    """Words of all ``langs``; ``extra`` gives the lists this package lacks."""
+    """Words of all ``langs``; ``extra`` gives the lists this package lacks
+    (a KeyError names one that neither has)."""
     words: set[str] = set()
     for l in langs:
-        words.update(stopwords(l) or (extra or {}).get(l, ()))
+        words.update(stopwords(l) or (extra or {})[l])
     return tuple(sorted(words))
 
 

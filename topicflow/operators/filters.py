@@ -118,6 +118,19 @@ def top_k_cut(topics: DataFrame, k: int, rank: str = "rank") -> DataFrame:
     return topics.filter(F.col(rank) < k)
 
 
+def require_valid_ids(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` itself, or a ValueError that names the violation."""
+    kinds = dict(df.dtypes)
+    if kinds[text] != "string":
+        raise ValueError(f"documents must be strings, not {kinds[text]}")
+    if kinds[id_col] not in ("string", "tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"document ids must be strings or integers, not {kinds[id_col]}")
+    row = id_validation(df, id_col, text).first()
+    if not row["valid"]:
+        raise ValueError(f"document ids must be unique and present, texts present: {row.asDict()}")
+    return df
+
+
 def id_validation(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One summary row; valid when ids are unique, present, and texts are strings."""
     return df.agg(

@@ -13,6 +13,7 @@ from ..session import spread
 from ..sources.tables import read_table
 from . import corpus as C
 from . import oracle as O
+from . import preprocess
 from .registry import register
 
 # Markers appended so every step has something to act on (same expression in SQL).
@@ -122,10 +123,7 @@ def t17_language_vote(spark, d):
 def k12_sentence_english(spark, d):
     """f_base chain, then null unless the stop-word vote says English."""
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
-    s = docs.select("doc_id", T.base_chain("text").alias("sentence"))
-    toks = s.select("doc_id", K.word_tokenize("sentence").alias("tokens"))
-    det = language.vote(toks, langs=VOTE_LANGS)
-    return language.keep_language(s, det, "sentence")
+    return preprocess.sentences(docs, langs=VOTE_LANGS)
 
 
 # --- token operators ---------------------------------------------------------
@@ -160,6 +158,7 @@ SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '{K.V
 FROM documents
 """)
 def k5_multilang_stopwords(spark, d):
+    # Nine of the twelve lists ship with the package; a caller gives ca, pl and sk to ``stopwords.union``.
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     t = K.remove_words(K.vocab_tokens("text"), stopwords.union(MULTI))
     return docs.select("doc_id", F.array_join(t, " ").alias("tokens"))

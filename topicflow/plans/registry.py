@@ -34,4 +34,4 @@ def r6(col) -> F.Column:
 def load_all() -> None:
     """Import every query module so the registry is filled."""
     from . import (q_text, q_vocab, q_topics, q_coherence, q_results, q_vectors,  # noqa: F401
-                   q_time, q_models, q_lexicon)
+                   q_time, q_models, q_lexicon, q_prep)
