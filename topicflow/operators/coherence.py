@@ -50,12 +50,14 @@ def topic_occurrences(corpus: DataFrame, topics: DataFrame, keys: Sequence[str]
                       tokens: str = "tokens") -> DataFrame:
     """``(*keys, doc_id, n, pos, term)`` for every corpus occurrence of a topic word.
 
-    The topic-word table is bounded by sets x K x k, so it is broadcast.
+    The stored topic-word table (sets x K x k rows) is broadcast by Spark where
+    its size allows.  The result is dealt by document once; all window counts
+    then work inside that layout.
     """
-    terms = topics.select(*keys, "term").distinct()
+    terms = pinned(topics.select(*keys, "term").distinct())
     long = (corpus.select("doc_id", F.size(tokens).alias("n"), F.posexplode_outer(tokens).alias("pos", "term"))
                   .filter(F.col("term").isNotNull()))
-    return long.join(F.broadcast(terms), "term")
+    return long.join(terms, "term").repartition("doc_id")
 
 
 def window_totals(occ: DataFrame, keys: Sequence[str], kind: str, size: int) -> DataFrame:
@@ -101,13 +103,10 @@ def pair_counts(occ: DataFrame, pairs: DataFrame, keys: Sequence[str], kind: str
     """``(*keys, a, b, n_ab)`` for distinct unordered term pairs (a < b)."""
     tp = (pairs.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                .filter(F.col("a") < F.col("b")).distinct())
-    # bounded by sets x K x k^2: broadcast; each occurrence meets (k-1) pairs per topic
-    side_a = occ.join(F.broadcast(tp), [*keys, occ["term"] == tp["a"]] if not keys else
-                      [occ[k] == tp[k] for k in keys] + [occ["term"] == tp["a"]])
-    side_a = side_a.select(*[occ[k] for k in keys], tp["a"], tp["b"], "doc_id", "n", "pos")
-    side_b = occ.join(F.broadcast(tp), [occ[k] == tp[k] for k in keys] + [occ["term"] == tp["b"]])
-    side_b = side_b.select(*[occ[k] for k in keys], tp["a"], tp["b"], "doc_id", "n", "pos")
-    both = _with_interval(side_a.unionByName(side_b), kind, size)
+    # One row for each end of a pair (sets x K x k^2, stored, so Spark knows the
+    # size); each occurrence meets its (k-1) pairs per topic in one join.
+    ends = pinned(tp.select(*keys, "a", "b", F.explode(F.array("a", "b")).alias("term")))
+    both = _with_interval(occ.join(ends, [*keys, "term"]).select(*keys, "a", "b", "doc_id", "n", "pos"), kind, size)
     union = (both.withColumn("_add", _union_len(both, [*keys, "a", "b", "doc_id"]))
                  .groupBy(*keys, "a", "b").agg(F.sum("_add").alias("_u")))
     sa = singles.select(*keys, F.col("term").alias("a"), F.col("n_term").alias("_na"))
@@ -128,8 +127,8 @@ def window_stats(corpus: DataFrame, topics: DataFrame, keys: Sequence[str], kind
     """Totals, single and pair window counts for one window definition.
 
     The corpus-proportional work (occurrences, interval unions) runs
-    distributed over a persisted occurrence table; the three results are
-    bounded by the topic sets (terms, term pairs) and become local frames.
+    distributed over a persisted occurrence table dealt by document; the three
+    results are bounded by the topic sets (terms, term pairs) and are stored.
     """
     own = occ is None
     if own:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,8 +93,8 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Persist and fill: later plans start from the stored rows and know their
-    size, so joins choose their side by it."""
-    out = materialise(df)
-    out.count()
-    return out
+    """A small table written to the shared folder and read back: later plans
+    start from a leaf of known size, and joins choose their side by it."""
+    path = shared_path(df.sparkSession, f"pinned-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
