@@ -10,8 +10,10 @@ chi-square bound ``cutoff`` under the final estimate is rejected.
 Statistics are held as whole hundredths, so sums and products are exact and
 do not depend on the order of the rows, and the exact percentiles that choose
 the nearest documents hold at most one counter for each distinct value.
-Estimates of small groups lean on their language's: a group of n documents
-counts n against ``lean``.  ``floors`` bound each deviation from below.
+One row a group is stored and joined back, so Spark
+sees its size and a hot group's rows need not meet in one task.  Estimates of
+small groups lean on their language's: a group of n documents counts n
+against ``lean``.  ``floors`` bound each deviation from below.
 
 Defined results: null and empty texts have no words and fail the base rules;
 null languages and sources are groups of their own; repeated rows stay, each
@@ -145,17 +147,18 @@ def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 def _nearest(rows: DataFrame, p: Params) -> DataFrame:
     """The rows of each group up to the ``keep`` percentile of the distance."""
     far = rows.withColumn("q", F.round(100 * F.sqrt("d2")).cast("long"))
-    bound = far.groupBy("g1", "g2").agg(F.percentile("q", F.lit(p.keep)).alias("bound"))
+    bound = stored(far.groupBy("g1", "g2").agg(F.percentile("q", F.lit(p.keep)).alias("bound")), "quality-bound")
     return far.join(bound, ["g1", "g2"]).where("q <= bound").drop("q", "bound")
 
 
 def estimate(rows: DataFrame, p: Params = Params()) -> DataFrame:
     """The minimum-covariance-determinant estimate of each group."""
     rows = rows.select("g1", "g2", *X)
-    middle = rows.groupBy("g1", "g2").agg(*[F.percentile(k, F.lit(0.5)).alias(f"m_{k}") for k in X])
+    middle = stored(rows.groupBy("g1", "g2").agg(*[F.percentile(k, F.lit(0.5)).alias(f"m_{k}") for k in X]), "quality-middle")
     off = rows.join(middle, ["g1", "g2"]).select("g1", "g2", *X, *[F.abs(F.col(k) - F.col(f"m_{k}")).alias(f"o_{k}") for k in X],
                                                  *[f"m_{k}" for k in X])
     spread = off.groupBy("g1", "g2").agg(*[F.percentile(F.round(f"o_{k}").cast("long"), F.lit(0.5)).alias(f"v_{k}") for k in X])
+    spread = stored(spread, "quality-spread")
     first = off.join(spread, ["g1", "g2"])
     d2 = F.lit(0.0)
     for k, floor in zip(X, p.floors):
