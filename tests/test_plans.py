@@ -29,5 +29,26 @@ def test_tokeniser_not_pushed_below_repartition(spark):
     from topicflow.plans import corpus as C
     from topicflow.operators.vocab import explode_tokens
     plan = _plan(explode_tokens(C.raw_corpus(spark, DATA)))
-    scan_side = plan.split("Exchange hashpartitioning(doc_id")[-1]
+    assert "Exchange RoundRobinPartitioning" in plan      # small input: its few splits are dealt to all cores
+    scan_side = plan.split("Exchange RoundRobinPartitioning")[-1]
     assert "regexp_extract_all" not in scan_side
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver test data absent")
+@pytest.mark.parametrize("name", ["a2_topic_count", "m5_hybrid_vector", "m6_l2_normalise", "k10_simple_tokenize", "k11_markup_tokenize",
+                                  "t1_step", "t4_step", "t9_step", "t15_step"])
+def test_narrow_queries_have_no_exchange(spark, name):
+    from topicflow.plans import registry
+    registry.load_all()
+    assert "Exchange" not in _plan(registry.QUERIES[name](spark, DATA))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver test data absent")
+def test_window_counts_stay_in_the_document_layout(spark):
+    from topicflow.operators import coherence as Q
+    corpus = spark.createDataFrame([(i, ["a", "b", "c", "a"]) for i in range(50)], "doc_id long, tokens array<string>")
+    topics = spark.createDataFrame([(0, 0, "a"), (0, 1, "b")], "topic long, rank int, term string")
+    occ = Q.topic_occurrences(corpus, topics).persist()
+    occ.count()
+    plan = _plan(Q.single_counts(occ, (), "sliding", 3))
+    assert "hashpartitioning(doc_id" not in plan.split("InMemoryTableScan")[0]
