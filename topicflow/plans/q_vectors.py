@@ -123,12 +123,30 @@ def m13_topic_pairs(spark, d):
     return p.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), r6("cos").alias("cos"))
 
 
-@register("m13_deduplicate_topics")
+SPLIT_SQL = f"""{UNIT_SQL},
+el AS (SELECT label * 3 + vec_id % 3 AS topic, unnest(u) AS x, unnest(range(len(u))) AS dim FROM unit),
+mean AS (SELECT topic, dim, avg(x) AS m FROM el GROUP BY ALL),
+nrm AS (SELECT topic, sqrt(sum(m * m)) AS nn FROM mean GROUP BY topic),
+tv AS (SELECT topic, dim, m / nullif(nn, 0) AS v FROM mean JOIN nrm USING (topic))"""
+
+
+@register("m13_deduplicate_topics", f"""
+WITH RECURSIVE {SPLIT_SQL},
+pr AS (SELECT a.topic AS a, b.topic AS b FROM tv a JOIN tv b ON a.dim = b.dim AND a.topic <> b.topic GROUP BY ALL HAVING sum(a.v * b.v) >= 0.25),
+reach(topic, r) AS (SELECT DISTINCT topic, topic FROM tv UNION SELECT reach.topic, pr.b FROM reach JOIN pr ON pr.a = reach.r),
+comp AS (SELECT topic, min(r) AS c FROM reach GROUP BY topic),
+cm AS (SELECT c, dim, avg(v) AS m FROM tv JOIN comp USING (topic) GROUP BY ALL),
+cn AS (SELECT c, sqrt(sum(m * m)) AS nn FROM cm GROUP BY c),
+sz AS (SELECT c, count(*) AS n FROM comp GROUP BY c)
+SELECT CAST(c AS BIGINT) AS topic, n AS n_members, CAST(dim AS BIGINT) AS dim, round(m / nn, 6) AS value FROM cm JOIN cn USING (c) JOIN sz USING (c)
+""")
 def m13_deduplicate_topics(spark, d):
-    """M13 merge step (cosine distance 0.1 graph, components, unit means): rows check."""
-    _, tv = _topic_vectors(spark, d)
-    dd = V.deduplicate_topics(tv, 0.1)
-    return dd.select(F.col("topic").cast("long").alias("topic"), F.size("members").cast("long").alias("n_members"))
+    """M13 merge step: thirty topics (label by id modulo three), put together by cosine
+    distance 0.75 (these vectors lie far apart), components and unit means."""
+    e = emb(spark, d).select("vec_id", (F.col("label") * 3 + F.col("vec_id") % 3).alias("topic"), V.l2_normalise("embedding").alias("u"))
+    dd = V.deduplicate_topics(V.topic_vectors(e, "topic", "u"), 0.75)
+    out = dd.select(F.col("topic").cast("long").alias("topic"), F.size("members").cast("long").alias("n_members"), "vec")
+    return _long(out, ["topic", "n_members"], "vec")
 
 
 # --- grid density (M8 density form) ------------------------------------------------
