@@ -289,3 +289,24 @@ def test_stop_word_lists_need_no_jar():
     with pytest.raises(KeyError):
         stopwords.union(("en", "ca"))
     assert "amb" in stopwords.union(("ca",), {"ca": ("amb",)})
+
+
+def test_vector_topics_and_topic_files(spark, tmpdir_path):
+    import os
+    from topicflow.plans import pipelines, trainer
+    axes = {"cat": [1.0, 0.0, 0.1], "dog": [0.9, 0.1, 0.1], "car": [0.0, 1.0, 0.1], "bus": [0.1, 0.9, 0.1]}
+    words = spark.createDataFrame(list(axes.items()), "term string, vec array<double>")
+    docs = [(i, ["cat", "dog", "cat"] if i % 3 else ["car", "bus", "bus"]) for i in range(30)]
+    corpus = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    jitter = [1 + i / 300 for i in range(30)]
+    vecs = spark.createDataFrame([(i, [sum(axes[t][k] for t in toks) * jitter[i] + 0.01 * ((i * 7 + k) % 5) for k in range(3)] + [0.0, 0.01 * (i % 2), 0.01]) for i, toks in docs],
+                                 "doc_id long, doc_vec array<double>")
+    wide = words.selectExpr("term", "concat(vec, array(0.0D, 0.0D, 0.0D)) AS vec")
+    got = pipelines.vector_topics(corpus, n_clusters=2, min_topic_size=2, doc_vectors=vecs, word_vectors=wide, k=2).collect()
+    first = {r["term"] for r in got if r["topic"] == 0}
+    assert first == {"cat", "dog"} and {r["term"] for r in got if r["topic"] == 1} == {"car", "bus"}
+    os.makedirs(tmpdir_path + "/t")
+    with open(tmpdir_path + "/t/x_animals_topk2.txt", "w") as f:
+        f.write("cat dog\ncar bus\n")
+    runs = trainer.train(corpus, "TopicFile", {"path": tmpdir_path + "/t", "num_topics": 2}).first()
+    assert runs["Topic Numbers"] == 2 and abs(runs["Scores"]["diversity"] - 4 / 20) < 1e-9
