@@ -47,7 +47,7 @@ class Params:
     block: int = 1024                              # ids in a block, a multiple of 8
     percentile: float = 0.95
     shard_ids: int = 1 << 20                       # a shard ends with the document that reaches it
-    memo: int = 1_000_000
+    memo: int = 600_000
 
 
 # -- blocks ---------------------------------------------------------------------
