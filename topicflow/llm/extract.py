@@ -376,9 +376,10 @@ def fit(pages: list[str], p: Params = Params()) -> Model:
 
 def train(pages: DataFrame, p: Params = Params()) -> Model:
     """The model of a bounded sample of pages with one article element."""
-    good = pages.select("html").where((F.length("html") <= p.max_chars) & F.lower("html").contains("<article"))
-    rows = good.orderBy(F.xxhash64("html"), "html").limit(p.sample).collect()
-    return fit([r["html"] for r in rows], p)
+    good = pages.select("html", F.xxhash64("html").alias("_h")).where((F.length("html") <= p.max_chars) & F.lower("html").contains("<article"))
+    chosen = good.select("_h").distinct().orderBy("_h").limit(p.sample)           # numbers only; the pages follow by them
+    rows = good.join(F.broadcast(chosen), "_h").dropDuplicates(["_h"]).collect()
+    return fit([r["html"] for r in sorted(rows, key=lambda r: r["_h"])], p)
 
 
 def main_text(pages: DataFrame, p: Params = Params(), model: Model | None = None) -> DataFrame:
