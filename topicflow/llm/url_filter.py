@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # Words of names that filter lists block (advertising, gambling, adult, spam, drugs, malware).
 SEEDS = ("ads", "advert", "adserver", "banner", "popup", "tracker", "tracking", "track", "casino", "casinos", "poker", "bet",
          "bets", "betting", "slots", "jackpot", "lottery", "adult", "porn", "xxx", "sex", "nude", "escort", "spam", "pills",
@@ -134,15 +136,15 @@ def judge(pages: DataFrame, p: Params = Params()) -> DataFrame:
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     sig = F.regexp_replace(F.lower("path"), "[0-9]+", "0").alias("sig")
-    urls = rows.select("host", sig).groupBy("host", "sig").agg(F.count(F.lit(1)).alias("n"))
-    words = word_counts(pages, urls, p)
+    urls = stored(rows.select("host", sig).groupBy("host", "sig").agg(F.count(F.lit(1)).alias("n")), "url-names")
+    words = stored(word_counts(pages, urls, p), "url-words")
     hosts = urls.select("host").distinct()
     split = hosts.select("host", F.posexplode(names(F.col("host"))).alias("at", "name"))
     cut = segment(split.select("name").distinct(), words, p)
     tokens = (split.join(cut, "name").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "parts"))).alias("x"))
                    .select("host", F.flatten(F.col("x.parts")).alias("host_tokens")))
     urls = urls.join(tokens, "host", "left").withColumn("tokens", F.concat(F.coalesce("host_tokens", F.array().cast("array<string>")), names(F.col("sig"))))
-    scores = bayes(urls.select("host", "sig", "n", "tokens"), p)
+    scores = stored(bayes(stored(urls.select("host", "sig", "n", "tokens"), "url-tokens"), p), "url-scores")
     rule = apply_rules(F.col("host"), F.col("path"), p.rules)
     out = rows.withColumn("sig", sig).join(scores, ["host", "sig"]).withColumn("_r", rule)
     return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"),
