@@ -24,7 +24,7 @@ from .bpe import blocks, load, patterns
 @dataclass(frozen=True)
 class Params:
     ranks: str = "byte_bpe_50k.tiktoken"           # a file of public_tokenizers, or a path
-    memo: int = 1_500_000
+    memo: int = 800_000
     bucket: int = 1024
 
 
@@ -51,7 +51,7 @@ class Counter:
             self.known.clear()
         whole = {c[0] for c in cut if len(c) == 1}
         new = list(set().union(*cut).difference(self.known, whole))
-        self.known.update(zip(new, map(len, self.encoding.encode_ordinary_batch(new, num_threads=1))))
+        self.known.update(zip(new, map(len, map(self.encoding.encode_ordinary, new))))
         get = self.known.__getitem__
         return [len(self.encoding.encode_ordinary(c[0])) if len(c) == 1 else sum(map(get, c)) for c in cut]
 
