@@ -34,8 +34,8 @@ def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    from .line_dedup import line_dedup
-    return line_dedup(read_table(spark, d, "documents"))
+    from .line_dedup import passage_dedup
+    return passage_dedup(read_table(spark, d, "documents"))
 
 
 @query("op5_decontamination", sql.decontamination())
