@@ -84,3 +84,21 @@ def test_query_rows(spark):
     assert len(got) == len(rows) and by[100, None]["text"] == "" == by[101, "u"]["text"]
     assert all(by[i, f"http://h/{i}"]["text"] == p[1] and by[i, f"http://h/{i}"]["n_chars"] == len(p[1]) for i, p in enumerate(known))
     assert X.main_text(df.limit(0)).count() == 0
+
+
+def test_missing_end_tags_and_embedded_text_keep_the_article():
+    """No element but raw text hides the page, and raw text only up to its end tag."""
+    body = "<h1>One two three</h1>" + "".join(f"<p>alpha beta, gamma{i} delta. eta zeta{i}, theta eps{i}.</p>" for i in range(6))
+    want = " ".join(["One two three", *(f"alpha beta, gamma{i} delta. eta zeta{i}, theta eps{i}." for i in range(6))])
+    article = f"<article>{body}</article>"
+    for tag in sorted(X.PHRASE | X.RAW | {"option", "svg", "math", "object", "canvas", "video", "audio"}):
+        assert want in X.extract(f"<html><body><{tag}>{article}</body></html>", MODEL), tag
+    for start in ("<datalist><option value=a></datalist>", "<form><select><option>x<option>y</select></form>", "<svg><path d='M0'/></svg>"):
+        assert X.extract(f"<html><body>{start}{article}</body></html>", MODEL) == want, start
+        assert X.extract(f"<html><body>{start}{article}<select><option>later</option></select></body></html>", MODEL).startswith(want), start
+    for tag in ("math", "object", "canvas"):
+        got = X.extract(f"<html><body><article>{body}<p>so <{tag}>a plus b, equals c.</{tag}> holds.</p></article></body></html>", MODEL)
+        assert got == want + " so a plus b, equals c. holds.", (tag, got[-60:])
+    for tag in ("script", "style", "textarea", "title"):
+        assert X.extract(f"<html><body><article>{body}<{tag}>gone</{tag}></article></body></html>", MODEL) == want
+    assert X.extract(f"<html><body><article>{body}<script>x </scripts> y</script></article></body></html>", MODEL) == want

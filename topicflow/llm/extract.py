@@ -20,6 +20,11 @@ pairs, so a page outside the training set needs no label and no article tag.
 Text: character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined in page order by one space.
 
+Only what holds raw text in HTML (scripts, styles, titles, ...) is skipped, up
+to its end tag; without one, only the start tag is.  Buttons and choices are
+nodes the model judges like others; formulas and embedded objects belong to
+the node they stand in.
+
 Defined results: null and empty html give the empty string; unclosed and
 stray tags are repaired as browsers do in the common cases; without any page
 to learn from, the edits of an empty page are; repeated rows stay.
@@ -50,11 +55,13 @@ class Params:
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-                   "strong sub sup time tt u var wbr br img".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title select option button canvas video audio".split())
+                   "strong sub sup time tt u var wbr br img mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder "
+                   "mover munderover tspan math svg object canvas video audio".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp template".split())       # no text of the page inside
+PHRASE = frozenset("button select datalist optgroup noscript".split())         # nodes that leave a paragraph open
 CLOSES = {"p": frozenset("p".split()), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")),
           "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")),
-          "option": frozenset(("option",))}
+          "option": frozenset(("option",))} | {t: frozenset(("option",) if t == "optgroup" else ()) for t in PHRASE}
 STOPS = frozenset("table ul ol dl div section article main aside nav header footer form body html blockquote".split())
 NEGATIVE_TAGS = frozenset("nav footer aside header form menu dialog fieldset".split())
 POSITIVE_TAGS = frozenset(("article", "main"))
@@ -142,17 +149,15 @@ def parse(html: str | None) -> Page:
         if tag in ("head",) or tag in RAW:                         # no text of the page inside
             if not m[4].endswith("/"):
                 low = text.lower() if low is None or len(low) != len(text) else low
-                end = low.find("</" + tag, at)
+                end = next((m.start() for m in re.compile(rf"</{re.escape(tag)}(?=[\s/>])").finditer(low, at)), -1)
                 if tag == "head":
                     body = low.find("<body", at)
                     end = min((x for x in (end, body) if x >= 0), default=-1)
                     if end < 0:
                         continue
                     at = end if low.startswith("<body", end) else low.find(">", end) + 1 or len(text)
-                elif tag == "noscript" and end < 0:
-                    continue
-                else:
-                    at = len(text) if end < 0 else (low.find(">", end) + 1 or len(text))
+                elif end >= 0:                                     # without an end tag only the start tag goes
+                    at = low.find(">", end) + 1 or len(text)
             continue
         if tag == "br" or tag in VOID:
             if tag not in ("img", "wbr"):
@@ -287,6 +292,10 @@ def _edited(html: str, inside: str, others: list[str], rng: random.Random) -> st
     def links(n: int) -> str:
         return "".join(f'<li><a href="#">{some(1, 3)}</a></li>' for _ in range(n))
 
+    def choices() -> str:
+        tag = pick(["select", "select", "datalist"])
+        return f"<{tag}>{''.join(f'<option>{some(1, 3)}' for _ in range(rng.randint(1, 6)))}</{tag}>"
+
     def paragraphs(n: int) -> str:
         return "".join(f"<p>{some(5, 60)}.</p>" for _ in range(n))
 
@@ -300,7 +309,9 @@ def _edited(html: str, inside: str, others: list[str], rng: random.Random) -> st
     adverts = [lambda: f'<div class="{pick(["ad", "ads", "advert", "sponsored", "banner ad-slot", "promo"])}">{some(4, 30)}.</div>',
                lambda: f'<div id="ad-{rng.randrange(99)}"><p>{some(4, 30)}.</p></div>']
     forms = [lambda: f'<form action="#"><label>{some(1, 4)}</label><input name="q"><p>{some(3, 15)}</p></form>',
-             lambda: f'<div class="{pick(["newsletter", "subscribe", "login"])}"><p>{some(4, 20)}</p><input></div>']
+             lambda: f'<div class="{pick(["newsletter", "subscribe", "login"])}"><p>{some(4, 20)}</p><input></div>',
+             lambda: f"<form><label>{some(1, 3)}</label>{choices()}<button>{some(1, 2)}</button></form>", lambda: choices(),
+             lambda: f"<button>{some(1, 3)}</button>"]
     talk = [lambda: f'<{t} {pick(["class", "id"])}="{pick(["comments", "comment-list", "discussion", "reader-comments"])}"><h3>{some(1, 3)}</h3>'
                     f"{''.join(f'<div class={chr(34)}comment{chr(34)}>{paragraphs(rng.randint(1, 2))}</div>' for _ in range(rng.randint(1, 5)))}</{t}>"
             for t in ("section", "div")] + [lambda: f'<ol class="commentlist">{"".join(f"<li>{some(5, 50)}.</li>" for _ in range(3))}</ol>']
