@@ -310,3 +310,22 @@ def test_vector_topics_and_topic_files(spark, tmpdir_path):
         f.write("cat dog\ncar bus\n")
     runs = trainer.train(corpus, "TopicFile", {"path": tmpdir_path + "/t", "num_topics": 2}).first()
     assert runs["Topic Numbers"] == 2 and abs(runs["Scores"]["diversity"] - 4 / 20) < 1e-9
+
+
+def test_full_pipelines_run_every_stage(spark):
+    from topicflow.plans import q_prep, registry
+    registry.load_all()
+    sf = "/root/testdata/sf0.001"
+    stages = q_prep._stages(spark, sf)
+    lex = {r["term"]: r for r in stages["nouns"].collect()}
+    pairs = {f"{r['a']}_{r['b']}" for r in stages["phrases"].collect()}
+    full = {r["doc_id"]: r["tokens"].split(" ") for r in registry.QUERIES["k13_word_pipeline_full"](spark, sf).collect()}
+    plain = {r["doc_id"]: r["tokens"].split(" ") for r in registry.QUERIES["k13_word_pipeline"](spark, sf).collect()}
+    seen = [t for ts in full.values() for t in ts]
+    assert 0 < len(seen) < sum(map(len, plain.values())) and full.keys() <= plain.keys()
+    joined = {t for t in seen if "_" in t}
+    assert joined and joined <= pairs
+    lemmas = {r["lemma"] for r in lex.values()}                # typo correction leads to any dictionary word
+    assert all(t in lemmas for t in seen if "_" not in t)
+    k14 = registry.QUERIES["k14_corpus_pipeline_full"](spark, sf).collect()
+    assert k14 and all(r["tokens"].split(" ") == full[r["doc_id"]] and r["source_index"] == r["doc_id"] for r in k14)
