@@ -312,6 +312,18 @@ def test_vector_topics_and_topic_files(spark, tmpdir_path):
     assert runs["Topic Numbers"] == 2 and abs(runs["Scores"]["diversity"] - 4 / 20) < 1e-9
 
 
+def test_word2vec_query_returns_the_vectors(spark):
+    from topicflow.plans import registry
+    registry.load_all()
+    rows = registry.QUERIES["m19_word2vec"](spark, "/root/testdata/sf0.001").collect()
+    docs = {}
+    for r in rows:
+        docs.setdefault(r["doc_id"], {})[r["dim"]] = r["value"]
+    assert all(sorted(v) == list(range(50)) for v in docs.values())
+    assert sum(any(v.values()) for v in docs.values()) > 0.9 * len(docs) > 100
+    assert len({tuple(v.values()) for v in docs.values()}) > 0.5 * len(docs)
+
+
 def test_full_pipelines_run_every_stage(spark):
     from topicflow.plans import q_prep, registry
     registry.load_all()
