@@ -16,11 +16,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is
-    cut, and a lost executor costs no recomputation."""
+    cut, and a lost executor costs no recomputation.  ``by`` names a column of
+    few values; a filter on it reads only its folder."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

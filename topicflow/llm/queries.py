@@ -78,3 +78,21 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, d: str) -> DataFrame:
     from .extract import main_text
     return main_text(read_table(spark, d, "pages"))
+
+
+@query("op11_warc_index", sql.warc())
+def op11_warc_index(spark: SparkSession, d: str) -> DataFrame:
+    from .warc import captures
+    return captures(read_table(spark, d, "pages"))
+
+
+@query("op12_periodic_runs", sql.runs())
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    from .runs import digests, periodic_runs, planted
+    return digests(periodic_runs(planted(read_table(spark, d, "documents"))))
+
+
+@query("op13_ranked_search", sql.search())
+def op13_ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    from .search import ranked
+    return ranked(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))

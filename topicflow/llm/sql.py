@@ -103,3 +103,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND coalesce(d2 <= {Q.chi2_quantile(p.cutoff, k)!r}, false) AS kept, round(d2, 6) AS d2
 FROM v LEFT JOIN fin USING (r)
 """
+
+
+def warc() -> str:
+    """Base32 by groups of 20 bits: five hexadecimal digits, four letters."""
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS BIGINT) >> {s}) & 31), 1)"
+                          for i in range(8) for s in (15, 10, 5, 0))
+    return f"""
+WITH x AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+y AS (SELECT *, count(*) OVER (PARTITION BY html) AS n, max(page_id) OVER (PARTITION BY html) AS first FROM x)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {letters} AS payload_digest,
+       CASE WHEN n > 1 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM y
+"""
+
+
+def runs() -> str:
+    """Runs as islands of equal words at each distance."""
+    crc = ("4294967295 - list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), "
+           "lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), "
+           "lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))")
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc} AS h FROM documents),
+e AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM d),
+f AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM e),
+t AS (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM f),
+eq AS (SELECT x.r, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+isle AS (SELECT r, q, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g, i FROM eq),
+run AS (SELECT r, s, e, min(q) AS q FROM (SELECT r, q, min(i) AS s, max(i) + 1 + q AS e FROM isle GROUP BY r, q, g)
+        WHERE e - s >= greatest(24, 3 * q) GROUP BY r, s, e),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, e)) AS i FROM run),
+kept AS (SELECT t.r, string_agg(word, ' ' ORDER BY t.i) AS text FROM t ANTI JOIN gone ON gone.r = t.r AND gone.i = t.i GROUP BY t.r),
+sums AS (SELECT r, count(*) AS n, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+                first({{'s': s, 'l': e - s, 'q': q}} ORDER BY CAST(e - s AS DOUBLE) / q DESC, s, q) AS b FROM run GROUP BY r)
+SELECT doc_id, CAST(coalesce(sums.n, 0) AS BIGINT) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period,
+       CAST(1000 * b.l // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM f LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def search(k: int = 10) -> str:
+    """Every posting of every item's terms."""
+    words = (f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+             r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+q AS (SELECT row_number() OVER () AS i, item_id, {words} AS w FROM benchmark),
+qt AS (SELECT i, term, count(*) AS qtf FROM (SELECT i, unnest(w) AS term FROM q) GROUP BY i, term),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2.0::DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term),
+sc AS (SELECT qt.i, d.r, CAST(sum(qtf * df.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w) * n_docs) // n_terms)))) AS BIGINT) AS score
+       FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN d ON d.r = tf.r, s GROUP BY qt.i, d.r),
+o AS (SELECT i, r, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM sc JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o JOIN q USING (i) JOIN d USING (r) WHERE rank <= {k}
+"""
