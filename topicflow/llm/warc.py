@@ -53,6 +53,7 @@ class Params:
     block_lines: int = 3000
     gap: int = 1 << 16                    # records no further apart are read in one range
     read_bytes: int = 8 << 20             # length of such a range
+    task_bytes: int = 16 << 20            # a large archive is read by several tasks
     date: str = "1970-01-01T00:00:00Z"    # pages carry no time
 
 
@@ -180,7 +181,7 @@ def write(pages: DataFrame, path: str, p: Params = Params()) -> DataFrame:
 
 # -- index --------------------------------------------------------------------------
 
-MANIFEST = "first string, first_id long, file string, directory string, lines long"
+MANIFEST = "first string, first_id long, file string, directory string, lines long, bytes long"
 
 
 def place(key: str | bytes, page_id: int | None) -> tuple[bytes, bool, int]:
@@ -196,7 +197,7 @@ def index(entries: DataFrame, path: str, p: Params = Params()) -> DataFrame:
         name = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         where, root = opened(path)
         where.create_dir(root, recursive=True)
-        lines, directory, offset, total, head, out = [], [], 0, 0, None, None
+        lines, directory, offset, total, size, head, out = [], [], 0, 0, 0, None, None
 
         def block() -> int:
             data = member("".join(f"{k}\t{'' if i is None else i}\t{f}\t{o}\t{n}\n" for k, i, f, o, n in lines).encode(), 6)
@@ -209,7 +210,7 @@ def index(entries: DataFrame, path: str, p: Params = Params()) -> DataFrame:
                 if out is None:
                     head, out = row, where.open_output_stream(f"{root}/{name}.cdx.gz", compression=None)
                 lines.append(row)
-                total += 1
+                total, size = total + 1, size + row[4]
                 if len(lines) == p.block_lines:
                     offset += block()
                     lines.clear()
@@ -221,7 +222,7 @@ def index(entries: DataFrame, path: str, p: Params = Params()) -> DataFrame:
         with where.open_output_stream(f"{root}/{name}.directory", compression=None) as f:
             f.write("".join(directory).encode())
         yield pa.RecordBatch.from_arrays([pa.array([head[0]]), pa.array([head[1]], pa.int64()), pa.array([f"{name}.cdx.gz"]), pa.array([f"{name}.directory"]),
-                                          pa.array([total])], [c.split()[0] for c in MANIFEST.split(", ")])
+                                          pa.array([total]), pa.array([size])], [c.split()[0] for c in MANIFEST.split(", ")])
 
     order = [F.col("key"), F.col("page_id").asc_nulls_first(), F.col("file"), F.col("offset")]
     return stored(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, MANIFEST), "warc-manifest")
@@ -308,6 +309,7 @@ def locate(a: Archive, wanted: DataFrame) -> DataFrame:
     return keys.mapInArrow(look, "file string, offset long, length long")
 
 
+MOST_TASKS = 100_000
 FIELDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -333,8 +335,10 @@ def fetch(a: Archive, places: DataFrame, columns: str = FIELDS, p: Params = Para
                                                  [c.split()[0] for c in columns.split(", ")])
                 k = z
 
-    places = places.withColumn("deal", F.floor(F.col("offset") / (32 << 20)))       # a large archive is read by several tasks
-    places = places.repartition("file", "deal").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # Rows are slim but the records are not: so many tasks as there are archives to read, not as these rows would need.
+    tasks = max(1, sum(r["bytes"] for r in _parts(a)) // p.task_bytes)
+    places = places.withColumn("deal", F.floor(F.col("offset") / p.task_bytes))
+    places = places.repartition(min(tasks, MOST_TASKS), "file", "deal").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return places.mapInArrow(run, columns)
 
 
