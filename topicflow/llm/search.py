@@ -50,7 +50,7 @@ TOP = 1_000_000            # no term adds more than its weight times this: 10^9
 class Params:
     k: int = 10
     block_docs: int = 4096
-    block_terms: int = 2_000_000
+    block_terms: int = 1_000_000
     bundle: int = 256
     owners: tuple[float, ...] = (0.001, 0.01, 0.1)     # shares of the documents where the next owner's terms begin
 
@@ -68,12 +68,17 @@ def terms(text: bytes | None) -> list[bytes]:
 BLOCK = "block long, term binary, df long, total long, docs binary, tfs binary, ids array<long>"
 
 
-def invert(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Terms in order, where each one's postings begin, ordinals and occurrences."""
+def numbers() -> dict:
+    """Gives each new term the next number."""
     number: dict = defaultdict()
     number.default_factory = number.__len__
+    return number
+
+
+def invert(number: dict, texts: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Terms in order, where each one's postings begin, ordinals and occurrences."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    flat = np.concatenate([np.fromiter(map(number.__getitem__, t), np.int64, len(t)) for t in texts]) if len(texts) else np.zeros(0, np.int64)
+    flat = np.concatenate(texts) if len(texts) else np.zeros(0, np.int32)
     names = sorted(number)
     rank = np.empty(len(names), np.int64)
     rank[[number[t] for t in names]] = np.arange(len(names))
@@ -88,7 +93,7 @@ def build(docs: DataFrame, path: str, p: Params = Params()) -> None:
         import pyarrow as pa
         from pyspark import TaskContext
         block = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        number, ids, texts, size = numbers(), [], [], 0
 
         def packed(values: np.ndarray, kind: str, bounds: np.ndarray) -> pa.Array:
             data = np.ascontiguousarray(values, kind)
@@ -96,7 +101,7 @@ def build(docs: DataFrame, path: str, p: Params = Params()) -> None:
             return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
 
         def flush():
-            names, bounds, doc, tf = invert(texts)
+            names, bounds, doc, tf = invert(number, texts)
             lens = np.array([len(t) for t in texts], np.int64)
             one = np.array([0, len(texts)])
             yield pa.RecordBatch.from_arrays([
@@ -116,9 +121,9 @@ def build(docs: DataFrame, path: str, p: Params = Params()) -> None:
                 words = terms(t)
                 if texts and (len(texts) >= p.block_docs or size + len(words) > p.block_terms):
                     yield from flush()
-                    block, ids, texts, size = block + 1, [], [], 0
+                    block, number, ids, texts, size = block + 1, numbers(), [], [], 0
                 ids.append(i)
-                texts.append(words)
+                texts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 size += len(words)
         if texts:
             yield from flush()
