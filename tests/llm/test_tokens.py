@@ -14,6 +14,8 @@ from topicflow.llm import bpe, token_counts, tokens_out
 
 TEXTS = ["Hello WORLD it's", "", None, "ÀÉ  naïve\n\nline two", "<|endoftext|> a", "tab\there 123 !!", "x" * 300, "日本 🙂", "é ̈a", " nb sp"]
 
+ENCODER = tokens_out.Encoder(tokens_out.Params())
+
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 50_000), st.integers(0, 2 ** 32 - 1)), max_size=100), st.sampled_from([8, 16, 64]),
@@ -29,6 +31,26 @@ def test_round_trip_of_blocks(ids, block, q):
         assert r.blocks(1, 2).tolist() == ids[block:2 * block]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aBcDéÀ'’.,-_<| \n\tıİΣσ日本1²\u0301\u0338\xa0"), st.characters(exclude_categories=["Cs"])), max_size=25), max_size=6))
+def test_encoder_against_the_library(texts):
+    e = tokens_out.Encoder.__new__(tokens_out.Encoder)
+    e.__dict__.update(ENCODER.__dict__, known={"": b""}, old={}, p=tokens_out.Params(memo=8))
+    for t in texts + texts[::-1]:
+        assert e([t])[0].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_memo_keeps_what_is_used():
+    e = tokens_out.Encoder(tokens_out.Params(memo=40))
+    calls = []
+    learn = e._learn
+    e._learn = lambda pieces: calls.extend(pieces) or learn(pieces)
+    for i in range(200):
+        e([f"often again new{i}x"])
+        assert len(e.known) + len(e.old) < 60
+    assert calls.count("often") == 1 and calls.count("again") == 1
+
+
 def test_files(spark):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = [(100 - i, x) for i, x in enumerate(TEXTS * 4)] + [(None, "null id"), (3, "last one"), (3, "last one")]

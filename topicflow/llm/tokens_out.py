@@ -25,6 +25,7 @@ first; rows of one id are ordered by text; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from dataclasses import dataclass
@@ -37,6 +38,9 @@ from pyspark.sql import functions as F
 from .bpe import blocks as row_blocks
 from .common import scratch
 
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Steps of a tokenizer that folds letters and keeps punctuation behind them apart.
+STEPS = (("NFC", "Replace", "Lowercase"), ("Split", "ByteLevel"), ("BPE",))
 MAGIC, HEAD, BLOCK = b"PFB1", struct.Struct("<4sIQII"), struct.Struct("<IBH")
 
 
@@ -138,7 +142,12 @@ class Reader:
 
 class Encoder:
     """The tokenizer drops white space and never joins across it, so pieces
-    between spaces and newlines are encoded once and looked up."""
+    between spaces and newlines are encoded once and looked up.  ASCII
+    punctuation behind letters is a token run of its own, and ASCII letters are
+    folded, so a new piece is first looked up without them, and a new word of
+    ASCII letters goes to the merges at once.  (Only for a tokenizer whose steps
+    are STEPS; any other gets whole pieces.)  The memo has two generations: what
+    is still in use when it is full moves to the young one."""
 
     def __init__(self, p: Params):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"             # a task has one core
@@ -147,18 +156,53 @@ class Encoder:
         if "/" not in name:
             import public_tokenizers
             name = public_tokenizers.path(name)
-        self.p, self.tokenizer, self.known = p, Tokenizer.from_file(name), {"": b""}
+        self.p, self.tokenizer, self.known, self.old = p, Tokenizer.from_file(name), {"": b""}, {}
         self.end = b"" if p.end is None else struct.pack("<I", p.end)
+        spec = json.loads(self.tokenizer.to_str())
+        parts = ((spec["normalizer"] or {}).get("normalizers", []), (spec["pre_tokenizer"] or {}).get("pretokenizers", []), [spec["model"]])
+        self.folds = tuple(tuple(x["type"] for x in part) for part in parts) == STEPS and not spec["model"].get("dropout")
+        self.model = self.tokenizer.model
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode what neither generation has."""
+        if self.folds:
+            letters = [w for w in pieces if w.isascii() and w.isalpha()]
+            self.known.update((w, b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(w.lower())])) for w in letters)
+            pieces = [w for w in pieces if not (w.isascii() and w.isalpha())]
+        for i in range(0, len(pieces), 10_000):
+            part = pieces[i:i + 10_000]
+            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in
+                              zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+
+    def _meet(self, pieces: set[str]) -> None:
+        """Have all of ``pieces`` in the young generation."""
+        if len(self.known) > self.p.memo // 2:
+            self.old, self.known = self.known, {"": b""}
+        known, old = self.known, self.old
+        new = pieces.difference(known)
+        for w in new.intersection(old):
+            known[w] = old[w]
+        new.difference_update(old)
+        parts, whole = {}, []
+        if not self.folds:
+            self._learn(list(new))
+            return
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            if core.isalpha() and (len(core) < len(w) or core.isascii()):
+                parts[w] = core.lower() if core.isascii() else core, w[len(core):]
+            else:
+                whole.append(w)
+        need = {x for pair in parts.values() for x in pair}.difference(known)
+        for x in need.intersection(old):
+            known[x] = old[x]
+        self._learn(list(need.difference(old).union(whole)))
+        for w, core, rest in zip(words, cores, rests):
+            known[w] = known[core] + known[rest]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.p.memo:
-            self.known = {"": b""}
-        new = list(set().union(*cut).difference(self.known))
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in
-                              zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        self._meet(set().union(*cut))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join([*map(get, c), self.end]), "<u4") for c in cut]
 
