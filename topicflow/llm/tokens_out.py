@@ -183,17 +183,16 @@ class Encoder:
         for w in new.intersection(old):
             known[w] = old[w]
         new.difference_update(old)
-        parts, whole = {}, []
-        if not self.folds:
-            self._learn(list(new))
-            return
+        words, cores, rests, whole = [], [], [], []
         for w in new:
             core = w.rstrip(PUNCTUATION)
             if core.isalpha() and (len(core) < len(w) or core.isascii()):
-                parts[w] = core.lower() if core.isascii() else core, w[len(core):]
+                words.append(w)
+                cores.append(core.lower() if core.isascii() else core)
+                rests.append(w[len(core):])
             else:
                 whole.append(w)
-        need = {x for pair in parts.values() for x in pair}.difference(known)
+        need = set(cores).union(rests).difference(known)
         for x in need.intersection(old):
             known[x] = old[x]
         self._learn(list(need.difference(old).union(whole)))
