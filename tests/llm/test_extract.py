@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 from topicflow.llm import extract as X
 
@@ -102,3 +103,45 @@ def test_missing_end_tags_and_embedded_text_keep_the_article():
     for tag in ("script", "style", "textarea", "title"):
         assert X.extract(f"<html><body><article>{body}<{tag}>gone</{tag}></article></body></html>", MODEL) == want
     assert X.extract(f"<html><body><article>{body}<script>x </scripts> y</script></article></body></html>", MODEL) == want
+
+
+def _within_a_second(html, *parts):
+    began = time.time()
+    text = X.extract(html, MODEL)
+    assert time.time() - began < 1
+    for part in parts:
+        assert part in text
+    return text
+
+
+def test_labels_never_come_from_a_page():
+    html, want, _, _ = pages(1, seed=21)[0]
+    for value in ("Price", "0", "1"):
+        assert _within_a_second(html.replace("<p>", f'<p data-label="{value}">')) == want
+    marked = html.replace("<article>", '<article data-label="0" \x000>')
+    assert X.parse(marked).label == X.parse(html).label and X.extract(marked, MODEL) == want
+    assert [t.label for t in X.labelled([marked], X.Params(edits=0))] == [t.label for t in X.labelled([html], X.Params(edits=0))]
+
+
+def test_letters_that_grow_in_small_letters():
+    body = "İ" * 12 + "<script>var a;</script><p>After the script, all of it stands.</p>"
+    html, _, h, ps = pages(1, seed=22)[0]
+    _within_a_second(html.replace(f"<h1>{h}</h1>", f"<h1>{h}</h1><p>{body}</p>"), "After the script, all of it stands.", ps[0])
+    assert "Kept." in X.extract(html.replace(f"<h1>{h}</h1>", "<SCRIPT>x</ScRiPt><p>Kept. And, this.</p>"), MODEL)
+
+
+def test_pages_cut_off():
+    html, _, _, ps = pages(1, seed=23)[0]
+    cut = html.split("</article>")[0] + f"<p>{ps[0]} <a " + " ".join(f"a{i}=\"v{i}\" b{i}='w'" for i in range(40))
+    assert _within_a_second(cut, *ps).count(ps[0]) == 2
+    _within_a_second(cut + ' c="never closed > and on', *ps)
+    _within_a_second(html.split("</article>")[0] + "<a " * 20_000, *ps)
+    _within_a_second(html.split("</article>")[0] + "<script>" * 5_000, *ps)
+    assert "hidden" not in _within_a_second(html.replace("</article>", "</article><!-- <p>hidden, text."), *ps)
+
+
+def test_many_open_tags():
+    html, _, _, ps = pages(1, seed=24)[0]
+    start, end = html.split("</article>")
+    for middle in ("<b>" * 20_000 + "x, y." + "</i>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000 + "</div>", "<b>" * 20_000 + "<h2>" * 20_000):
+        _within_a_second(start + middle + "</article>" + end, *ps)

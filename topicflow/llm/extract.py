@@ -72,8 +72,11 @@ NEGATIVE = frozenset("nav navbar navigation menu header masthead topbar footer b
                      "breadcrumb breadcrumbs pagination pager widget popup modal overlay copyright legal tags toolbar skip complementary "
                      "contentinfo bannerad message warning disclaimer".split())
 POSITIVE = frozenset("article content main post entry story body articlebody text maincontent prose".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
-NAMED = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# Each character of a tag is read in one way only: a quote matters after an equals sign, if it is closed.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""", re.S)
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+OPENING = re.compile("<[a-zA-Z/!?]")
+LABEL = re.compile("\x00([01])")                    # labels of the training pages; no page has this character there
 WORD = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
@@ -96,7 +99,30 @@ def hint(names: str) -> int:
     return -1 if words & NEGATIVE else 1 if words & POSITIVE else 0
 
 
-def parse(html: str | None) -> Page:
+class Stack:
+    """Open elements, with the places of each name."""
+
+    def __init__(self, root: int):
+        self.rows, self.where, self.stops = [("html", root)], {"html": [0]}, [0]
+
+    def push(self, tag: str, node: int) -> None:
+        self.where.setdefault(tag, []).append(len(self.rows))
+        if tag in STOPS:
+            self.stops.append(len(self.rows))
+        self.rows.append((tag, node))
+
+    def close(self, names, through: bool) -> None:
+        """Close the innermost element of these names, if no element that stops it stands inside (``through``: none does)."""
+        k = max((self.where[t][-1] for t in names if self.where.get(t)), default=0)
+        if k and (through or self.stops[-1] <= k):
+            for tag, _ in self.rows[k:]:
+                self.where[tag].pop()
+                if tag in STOPS:
+                    self.stops.pop()
+            del self.rows[k:]
+
+
+def parse(html: str | None, labelled: bool = False) -> Page:
     p = Page()
 
     def node(parent: int, tag: str, side: int, label: int | None) -> int:
@@ -111,12 +137,20 @@ def parse(html: str | None) -> Page:
         p.marks.append(0)
         return len(p.tag) - 1
 
-    stack: list[tuple[str, int]] = [("html", node(-1, "html", 0, None))]
+    stack = Stack(node(-1, "html", 0, None))
     depth, at, text = 0, 0, html or ""
-    low = None
+    last = text.rfind(">") + 1                                     # no tag ends behind it
+    missing: set[str] = set()                                      # end tags that the rest of the page lacks
+
+    def find(pattern: str, start: int) -> tuple[int, int] | None:
+        if pattern not in missing:
+            if m := re.compile(pattern, re.I | re.A).search(text, start):
+                return m.span()
+            missing.add(pattern)
+        return None
 
     def add(raw: str) -> None:
-        n = stack[-1][1]
+        n = stack.rows[-1][1]
         p.pieces.append((n, raw))
         size = len(raw.strip())
         if size:
@@ -125,10 +159,12 @@ def parse(html: str | None) -> Page:
             if depth:
                 p.links[n] += size
 
-    while m := TAG.search(text, at):
+    while m := TAG.search(text, at, last):
         if m.start() > at:
             add(text[at:m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):   # a comment without an end
+            at = len(text)
         if m[1] is not None:
             add(m[1])
         if m[3] is None:
@@ -137,59 +173,47 @@ def parse(html: str | None) -> Page:
         if m[2]:                                                   # end tag
             if tag == "a":
                 depth = max(0, depth - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in STOPS and tag not in STOPS:
-                    break
+            stack.close((tag,), tag in STOPS)
             if tag not in INLINE:
                 p.pieces.append((-1, ""))
             continue
         if tag in ("head",) or tag in RAW:                         # no text of the page inside
             if not m[4].endswith("/"):
-                low = text.lower() if low is None or len(low) != len(text) else low
-                end = next((m.start() for m in re.compile(rf"</{re.escape(tag)}(?=[\s/>])").finditer(low, at)), -1)
+                end = find(rf"</{re.escape(tag)}(?=[\s/>])", at)
                 if tag == "head":
-                    body = low.find("<body", at)
-                    end = min((x for x in (end, body) if x >= 0), default=-1)
-                    if end < 0:
-                        continue
-                    at = end if low.startswith("<body", end) else low.find(">", end) + 1 or len(text)
-                elif end >= 0:                                     # without an end tag only the start tag goes
-                    at = low.find(">", end) + 1 or len(text)
+                    body = find("<body", at)
+                    if body and (not end or body < end):
+                        at, end = body[0], None
+                if end:                                            # without an end tag only the start tag goes
+                    at = text.find(">", end[1]) + 1 or len(text)
             continue
         if tag == "br" or tag in VOID:
             if tag not in ("img", "wbr"):
                 p.pieces.append((-1, ""))
             continue
-        if tag in ("html", "body") and (tag == "html" or any(t == "body" for t, _ in stack)):
+        if tag in ("html", "body") and (tag == "html" or stack.where.get("body")):
             continue
         side, label = 0, None
         if m[4]:
-            names = [(a.lower(), b or c or d) for a, b, c, d in NAMED.findall(m[4])]
-            label = next((int(v) for a, v in names if a == "data-label"), None)
-            side = hint(" ".join(v for a, v in names if a != "data-label"))
+            mark = LABEL.search(m[4]) if labelled else None
+            label = int(mark[1]) if mark else None
+            side = hint(" ".join(b or c or d for _, b, c, d in NAMED.findall(m[4])))
             if HIDDEN.search(m[4]):
                 side = -1
         inline = tag in INLINE
         if not inline:
             p.pieces.append((-1, ""))
             shuts = CLOSES.get(tag, CLOSES["p"])
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in shuts:
-                    del stack[k:]
-                    break
-                if stack[k][0] in STOPS and not (stack[k][0] in shuts):
-                    break
+            stack.close(shuts, False)
         if tag == "a":
             depth += 1
         if inline and side >= 0 and label is None:
-            stack.append((tag, stack[-1][1]))
+            stack.push(tag, stack.rows[-1][1])
         else:
-            stack.append((tag, node(stack[-1][1], tag, side, label)))
-    if at < len(text):
-        add(text[at:])
+            stack.push(tag, node(stack.rows[-1][1], tag, side, label))
+    if at < len(text):                                             # a tag cut off by the end of the page is no text
+        cut = OPENING.search(text, max(at, last))
+        add(text[at:cut.start() if cut else len(text)])
     return p
 
 
@@ -318,7 +342,7 @@ def _edited(html: str, inside: str, others: list[str], rng: random.Random) -> st
     feet = [lambda: f"<footer>&copy; {some(3, 15)}.</footer>", lambda: f'<div class="{pick(["footer", "copyright", "site-footer"])}"><p>{some(4, 20)}.</p></div>']
 
     def mark(x: str) -> str:
-        return re.sub(r"\A<(\w+)", r'<\1 data-label="0"', x)
+        return re.sub(r"\A<(\w+)", "<\\1 \x000", x)
 
     def some_of(*families, rate=0.6) -> str:
         return "".join(mark(pick(f)()) for f in families if rng.random() < rate)
@@ -333,27 +357,27 @@ def _edited(html: str, inside: str, others: list[str], rng: random.Random) -> st
 
     outer = pick([("<article", "</article>"), ("<main", "</main>"), ('<div class="content"', "</div>"), ('<div id="main-content"', "</div>"),
                   ('<section class="post"', "</section>"), ("<div", "</div>"), ("<div", "</div>"), ('<td class="story"', "</td>")])
-    article = f'{outer[0]} data-label="1">{within(inside)}{outer[1]}'
+    article = f'{outer[0]} \x001>{within(inside)}{outer[1]}'
     if rng.random() < 0.3:
         article = f"<div>{article}</div>"
     if rng.random() < 0.3:
         article = f"<main>{article}{some_of(talk, sides)}</main>"
-    return (f'<html><body data-label="0">{some_of(notes, heads, menus, adverts)}{article}'
+    return (f'<html><body \x000>{some_of(notes, heads, menus, adverts)}{article}'
             f"{some_of(adverts, talk, sides, forms, notes, menus, feet)}</body></html>")
 
 
 def labelled(pages: list[str], p: Params) -> list[Page]:
     rng = random.Random(p.seed)
-    single = [(h, m[0]) for h in pages if len(m := ARTICLE.findall(h)) == 1]
+    single = [(h, m[0]) for h in (x.replace("\x00", "") for x in pages) if len(m := ARTICLE.findall(h)) == 1]
     single = single or [("", "<h1>a b c</h1><p>a b c, d e f.</p><p>g h i j k l m n.</p>")]
     plain = [" ".join(re.sub(r"<[^>]*>", " ", inside).split()) for _, inside in single]
     out = []
     for html, inside in single:
-        marked = re.sub(r"(?i)<article\b", '<article data-label="1"', html, count=1)
+        marked = re.sub(r"(?i)<article\b", "<article \x001", html, count=1)
         if html:
-            out.append(re.sub(r"(?i)<body\b", '<body data-label="0"', marked, count=1))
+            out.append(re.sub(r"(?i)<body\b", "<body \x000", marked, count=1))
         out += [_edited(html, inside, plain, rng) for _ in range(p.edits)]
-    return [parse(x) for x in out]
+    return [parse(x, labelled=True) for x in out]
 
 
 def fit(pages: list[str], p: Params = Params()) -> Model:
