@@ -42,17 +42,39 @@ def corpus(n=700, seed=8):
                    (903, "one two three " * 2000, "en", "s1"), (None, rows[1][1], "xx", "once")]
 
 
-def test_against_plain_counts_and_planted_outliers(spark):
+def test_against_plain_counts(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
     got = sorted((tuple(r) for r in Q.quality(docs).collect()), key=repr)
     assert [g[:7] for g in got] == sorted(((i, *plain(t)) for i, t, _, _ in rows), key=lambda x: repr(x))
-    kept = {g[0]: g[7] for g in got}
     failed = {g[0]: g[6] for g in got}
-    assert not any(kept[i] for i in range(0, 700, 50))
-    clean = [i for i in range(700) if i % 50 and not failed[i]]
-    assert sum(kept[i] for i in clean) > 0.99 * len(clean)
-    assert not any(k and failed[i] for i, k in kept.items())
+    assert not any(g[7] and failed[g[0]] for g in got)
+
+
+def clean(r, n=None):
+    """Prose of one kind: words of six letters on average, no line twice, few symbols."""
+    word = lambda: "".join(r.choice("abcdefghijklmn") for _ in range(r.randint(3, 9)))
+    text = " ".join(word() + ("." if k % 11 == 10 else "") + ("\n" if k % 40 == 39 else "") for k in range(n or int(r.lognormvariate(5.2, 0.3)) + 55))
+    return text + " &" if r.random() < 0.1 else text
+
+
+OUTLIERS = {
+    "length": lambda r: clean(r, 30_000),
+    "word length": lambda r: " ".join("".join(r.choice("abcdefghijklmn") for _ in range(r.randint(12, 20))) for _ in range(200)),
+    "symbols": lambda r: " ".join(w + r.choice(["%%", "**", "|"]) for w in clean(r, 180).split()),
+    "duplicate lines": lambda r: clean(r, 180) + "\n" + "\n".join(r.choice("xyz") + str(k % 9) for k in range(60)),
+    "repeated words": lambda r: (lambda t: t + " " + " ".join(t.split()[:40]))(clean(r, 150)),
+}
+
+
+def test_an_outlier_in_each_statistic_goes(spark):
+    rows, r = [], random.Random(3)
+    for k, kind in enumerate(OUTLIERS):                            # a group of its own for each statistic
+        rows += [(1000 * k + i, clean(r) if i < 400 else OUTLIERS[kind](r), kind, "s1") for i in range(412)]
+    got = {x["doc_id"]: x for x in Q.quality(spark.createDataFrame([(*x, "x", 1) for x in rows], SCHEMA)).collect()}
+    for k, kind in enumerate(OUTLIERS):
+        assert not any(got[1000 * k + i]["base_failed"] or got[1000 * k + i]["kept"] for i in range(400, 412)), kind
+        assert sum(got[1000 * k + i]["kept"] for i in range(400)) >= 0.98 * 400, kind
 
 
 def test_concentration_lowers_the_determinant(spark):

@@ -13,7 +13,10 @@ the nearest documents hold at most one counter for each distinct value.
 One row a group is stored and joined back, so Spark
 sees its size and a hot group's rows need not meet in one task.  Estimates of
 small groups lean on their language's: a group of n documents counts n
-against ``lean``.  ``floors`` bound each deviation from below.
+against ``lean``.  Symbols, duplicate lines and repeated words are zero in
+most texts, so their variance may be zero; ``floors`` is what a deviation is
+worth at least, about what the first such line or word adds to a text of
+usual length.
 
 Defined results: null and empty texts have no words and fail the base rules;
 null languages and sources are groups of their own; repeated rows stay, each
@@ -38,9 +41,9 @@ X = ("x1", "x2", "x3", "x4", "x5")
 class Params:
     keep: float = 0.75
     steps: int = 4                 # concentration steps
-    cutoff: float = 1 - 1e-9       # far tails: clean texts are not quite normal
+    cutoff: float = 0.999
     lean: int = 50
-    floors: tuple = (50, 25, 35, 60, 60)           # hundredths
+    floors: tuple = (25, 15, 25, 30, 35)           # hundredths
 
 
 def chi2_cdf(x: float, k: int) -> float:
