@@ -34,21 +34,29 @@ def test_round_trip_of_blocks(ids, block, q):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from("aBcDéÀ'’.,-_<| \n\tıİΣσ日本1²\u0301\u0338\xa0"), st.characters(exclude_categories=["Cs"])), max_size=25), max_size=6))
 def test_encoder_against_the_library(texts):
-    e = tokens_out.Encoder.__new__(tokens_out.Encoder)
-    e.__dict__.update(ENCODER.__dict__, known={"": b""}, old={}, p=tokens_out.Params(memo=8))
+    e = ENCODER
+    e.known.size = 8
     for t in texts + texts[::-1]:
         assert e([t])[0].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
 def test_memo_keeps_what_is_used():
     e = tokens_out.Encoder(tokens_out.Params(memo=40))
-    calls = []
-    learn = e._learn
-    e._learn = lambda pieces: calls.extend(pieces) or learn(pieces)
+    calls, encode = [], e.known.encode
+    e.known.encode = lambda x: calls.append(x) or encode(x)
     for i in range(200):
         e([f"often again new{i}x"])
-        assert len(e.known) + len(e.old) < 60
-    assert calls.count("often") == 1 and calls.count("again") == 1
+        assert len(e.known) + len(e.known.old) < 60
+    assert calls.count("often") == 1 and calls.count("again") == 1 and len(calls) > 200
+
+
+def test_other_tokenizers_get_whole_pieces(tmp_path):
+    from tokenizers import models, pre_tokenizers
+    t = Tokenizer(models.WordLevel({"Ab.": 0, "ab": 1, "?": 2}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.save(str(tmp_path / "t.json"))
+    e = tokens_out.Encoder(tokens_out.Params(tokenizer=str(tmp_path / "t.json")))
+    assert not e.folds and e(["Ab. ab Ab\n."])[0].tolist() == [0, 1, 2, 2, 2]
 
 
 def test_files(spark):

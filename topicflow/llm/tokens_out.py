@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,6 +40,7 @@ from .bpe import blocks as row_blocks
 from .common import scratch
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")     # letters that are one character in every normal form used, and fold one by one
 #: Steps of a tokenizer that folds letters and keeps punctuation behind them apart.
 STEPS = (("NFC", "Replace", "Lowercase"), ("Split", "ByteLevel"), ("BPE",))
 MAGIC, HEAD, BLOCK = b"PFB1", struct.Struct("<4sIQII"), struct.Struct("<IBH")
@@ -140,14 +142,41 @@ class Reader:
 
 # -- tokenizer ----------------------------------------------------------------------
 
+class Memo(dict):
+    """Ids of each piece met, in two generations: when the young one is full
+    the old one goes, and what is met again moves from old to young."""
+
+    def __init__(self, encode, size: int):
+        super().__init__()
+        self.encode, self.size, self.old = encode, size, {}
+
+    def turn(self) -> None:
+        if len(self) > self.size // 2:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        self[piece] = ids
+        return ids
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable
+    bytes for themselves, the others by the letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
 class Encoder:
     """The tokenizer drops white space and never joins across it, so pieces
     between spaces and newlines are encoded once and looked up.  ASCII
-    punctuation behind letters is a token run of its own, and ASCII letters are
-    folded, so a new piece is first looked up without them, and a new word of
-    ASCII letters goes to the merges at once.  (Only for a tokenizer whose steps
-    are STEPS; any other gets whole pieces.)  The memo has two generations: what
-    is still in use when it is full moves to the young one."""
+    punctuation behind letters is a token run of its own, so a new piece is
+    looked up without it, and a new word of Latin letters, which are folded,
+    goes to the merges at once.  (Only for a tokenizer whose steps are STEPS;
+    any other gets whole pieces.)"""
 
     def __init__(self, p: Params):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"             # a task has one core
@@ -156,54 +185,37 @@ class Encoder:
         if "/" not in name:
             import public_tokenizers
             name = public_tokenizers.path(name)
-        self.p, self.tokenizer, self.known, self.old = p, Tokenizer.from_file(name), {"": b""}, {}
+        self.p, self.tokenizer = p, Tokenizer.from_file(name)
         self.end = b"" if p.end is None else struct.pack("<I", p.end)
         spec = json.loads(self.tokenizer.to_str())
         parts = ((spec["normalizer"] or {}).get("normalizers", []), (spec["pre_tokenizer"] or {}).get("pretokenizers", []), [spec["model"]])
         self.folds = tuple(tuple(x["type"] for x in part) for part in parts) == STEPS and not spec["model"].get("dropout")
-        self.model = self.tokenizer.model
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode what neither generation has."""
-        if self.folds:
-            letters = [w for w in pieces if w.isascii() and w.isalpha()]
-            self.known.update((w, b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(w.lower())])) for w in letters)
-            pieces = [w for w in pieces if not (w.isascii() and w.isalpha())]
-        for i in range(0, len(pieces), 10_000):
-            part = pieces[i:i + 10_000]
-            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in
-                              zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-
-    def _meet(self, pieces: set[str]) -> None:
-        """Have all of ``pieces`` in the young generation."""
-        if len(self.known) > self.p.memo // 2:
-            self.old, self.known = self.known, {"": b""}
-        known, old = self.known, self.old
-        new = pieces.difference(known)
-        for w in new.intersection(old):
-            known[w] = old[w]
-        new.difference_update(old)
-        words, cores, rests, whole = [], [], [], []
-        for w in new:
-            core = w.rstrip(PUNCTUATION)
-            if core.isalpha() and (len(core) < len(w) or core.isascii()):
-                words.append(w)
-                cores.append(core.lower() if core.isascii() else core)
-                rests.append(w[len(core):])
-            else:
-                whole.append(w)
-        need = set(cores).union(rests).difference(known)
-        for x in need.intersection(old):
-            known[x] = old[x]
-        self._learn(list(need.difference(old).union(whole)))
-        for w, core, rest in zip(words, cores, rests):
-            known[w] = known[core] + known[rest]
+        self.model, self.letter = self.tokenizer.model, byte_letters()
+        self.known = Memo(self.piece if self.folds else self.whole, p.memo)
+
+    def whole(self, piece: str) -> bytes:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def piece(self, piece: str) -> bytes:
+        core = piece.rstrip(PUNCTUATION)
+        if not core.isalpha():
+            return self.whole(piece)
+        if len(core) < len(piece):
+            return self.known[core] + self.known[piece[len(core):]]
+        if not LATIN.fullmatch(core):
+            return self.whole(core)
+        low = core.lower()
+        if low != core:
+            return self.known[low]
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.letter)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(low)])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._meet(set().union(*cut))
+        self.known.turn()
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join([*map(get, c), self.end]), "<u4") for c in cut]
+        return [np.frombuffer(b"".join([*map(get, (t or "").replace("\n", " ").split(" ")), self.end]), "<u4") for t in texts]
 
 
 @lru_cache(maxsize=1)
