@@ -20,9 +20,9 @@ def plain(docs, items, width=10, slack=0):
     wins = {}
     for item, t in items:
         w = words(t)
-        if w and item is not None:
+        if w:
             for i in range(max(1, len(w) - width + 1)):
-                wins.setdefault(tuple(w[i:i + width]), set()).add(str(item))
+                wins.setdefault(tuple(w[i:i + width]), set()).update([] if item is None else [str(item)])
     for i, t in docs:
         w = words(t)
         hit, found = set(), set()
@@ -40,14 +40,14 @@ def data(seed=2):
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(40)] + ["Été", "naïve", "日本", "a"]
     text = lambda n: " ".join(r.choice(vocab) + r.choice(["", ",", ".", "-"]) for _ in range(n))
-    items = [(i, text(r.choice([2, 5, 10, 11, 30]))) for i in range(25)] + [(3, "w1 w2 w3"), (90, None), (91, "..."), (None, "w1 w1"), (9, "a a")]
+    items = [(i, text(r.choice([2, 5, 10, 11, 30]))) for i in range(25)] + [(3, "w1 w2 w3"), (90, None), (91, "..."), (None, "w1 w1"), (None, "only w2 here"), (9, "a a")]
     docs = []
     for i in range(60):
         t = text(r.choice([0, 1, 8, 60, 200]))
         if i % 3 == 0:
             t += " " + r.choice(items[:25])[1].upper() + " " + text(7)
         docs.append((i, t))
-    return docs + [(100, None), (101, ""), (101, "a a a a a"), (None, items[4][1]), (5, docs[3][1]), (5, docs[3][1])], items
+    return docs + [(100, None), (101, ""), (101, "a a a a a"), (None, items[4][1]), (5, docs[3][1]), (5, docs[3][1]), (102, "x only w2 here")], items
 
 
 @pytest.mark.parametrize("p", [D.Params(), D.Params(shard_words=50, block_bytes=300), D.Params(slack=1), D.Params(slack=2, block_bytes=400)])

@@ -38,12 +38,23 @@ def test_run_against_plain_stages(spark):
     assert 20 < len(got) < docs.count()
 
 
-def test_stages_keep_the_columns(spark):
+def test_stages_keep_columns_and_values(spark):
+    """Columns named like the operators' own, null ids and texts, repeated rows: all that stays has its values."""
     docs = read_table(spark, SF, "documents").limit(30).withColumnRenamed("source", "score")
-    docs = docs.selectExpr("*", "score as source", "1 as th", "2 as fp", "3 as _d").cache()
+    for k, name in enumerate(["source", "th", "fp", "_d", "_id", "_th", "_gone", "_new", "held_out", "predicted", "row", "a", "id", "gone"]):
+        docs = docs.selectExpr("*", f"concat('{name}', doc_id) as {name}", *([] if k else ["cast(doc_id as string) as tag"]))
+    more = docs.limit(2)
+    odd = docs.limit(1).selectExpr(*[f"cast(null as {t}) as {c}" if c in ("doc_id", "text") else c for c, t in docs.dtypes])
+    docs = docs.unionByName(more).unionByName(odd).unionByName(odd.selectExpr(*["'' as text" if c == "text" else c for c in docs.columns])).cache()
+    rows = {(r["doc_id"], r["tag"]): r for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
-        assert out.columns == docs.columns, name
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert len(got) > 10, name
+        for r in got:
+            same = rows[r["doc_id"], r["tag"]]
+            assert all(r[c] == same[c] for c in docs.columns if c not in ("text", "n_chars")), name
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "SimHash near-dedup", "benchmark decontamination", "byte-level BPE"]
 

@@ -34,3 +34,14 @@ def let(value: Column, body) -> Column:
 def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """Identity of a row: rows equal in id and text are one document."""
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` in one column ``row``, beside ``more``: no name of the input meets ours."""
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return docs.select(row.alias("row"), *[v.alias(k) for k, v in more.items()])
+
+
+def unboxed(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return found.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import boxed, stored, unboxed
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,7 @@ def _search_block(index: DataFrame, items: list[tuple], p: Params) -> DataFrame:
     where: dict[tuple, list[str]] = {}
     for item, text in items:
         for w in windows(text, p.width):
-            where.setdefault(w, []).append(str(item))
+            where.setdefault(w, []).extend([] if item is None else [str(item)])      # an item without an id hits, but is not named
     found = index.sparkSession.sparkContext.broadcast([(w, sorted(set(i))) for w, i in where.items()])
 
     def run(batches):
@@ -197,13 +197,14 @@ def _search_block(index: DataFrame, items: list[tuple], p: Params) -> DataFrame:
 def search(index: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
     """``doc_id, th, n_words, items, spans`` for every indexed document; spans
     are disjoint, ascending and half open, in words."""
-    items = items.select(F.col("item_id"), "text").where("text is not null and item_id is not null")
+    items = items.select(F.col("item_id"), "text").where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // p.block_bytes))
     parts = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()     # about block_bytes
-        parts.append(_search_block(index, [tuple(r) for r in rows], p))
+        part = _search_block(index, [tuple(r) for r in rows], p)
+        parts.append(part if blocks == 1 else stored(part, "decontam-hits"))      # one block's windows are held at a time
     if blocks == 1:
         return parts[0].drop("shard", "ordinal")
     both = parts[0]
@@ -230,5 +231,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, p: Params = Params()) -> Da
 def keep_clean(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFrame:
     """The filtering stage: documents without any hit, columns unchanged."""
     bad = (search(build_index(docs, p), items, p).where(F.size("spans") > 0)
-           .select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "leftanti")
+           .select(F.col("doc_id").alias("bad"), F.col("th").alias("hash")).distinct())
+    rows = boxed(docs, id=F.col("doc_id"), th=F.xxhash64("text"))
+    return unboxed(rows.join(bad, F.col("id").eqNullSafe(F.col("bad")) & (F.col("th") == F.col("hash")), "leftanti"), docs)

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import boxed, stored, unboxed
 
 
 @dataclass(frozen=True)
@@ -229,7 +229,8 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     this id, the one with the least text hash; of equal rows, any one)."""
     g = groups(docs, p)
     chosen = (g.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-               .groupBy("component_id").agg(F.min("th").alias("_th"))
-               .select(F.col("component_id").alias("_id"), "_th"))
-    near = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "leftsemi")
-    return near.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+               .groupBy("component_id").agg(F.min("th").alias("least"))
+               .select(F.col("component_id").alias("kept"), "least"))
+    rows = boxed(docs, id=F.col("doc_id"), th=F.xxhash64("text"))
+    near = rows.join(chosen, F.col("id").eqNullSafe(F.col("kept")) & (F.col("th") == F.col("least")), "leftsemi")
+    return unboxed(near.dropDuplicates(["id", "th"]), docs)

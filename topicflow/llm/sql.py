@@ -13,7 +13,7 @@ def decontamination(width: int = 10) -> str:
              r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
-b AS (SELECT item_id, w, least(len(w), {width}) AS k FROM (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+b AS (SELECT item_id, w, least(len(w), {width}) AS k FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
 win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, k, array_to_string(w[i:i + k - 1], ' ') AS g
         FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
 dw AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g

@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import boxed, unboxed
+
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>|*#$%&+=~`^_/\\-«»“”„‘’…–—¡¿"
 PRIMES = (np.uint64(0x9E3779B1), np.uint64(0x85EBCA77))
 
@@ -252,4 +254,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFr
 
 def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The filtering stage: rows predicted 0, columns unchanged."""
-    return score(docs, labels, p).where("predicted = 0").select(*docs.columns)
+    rows = boxed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    return unboxed(score(rows, labels, p).where("predicted = 0"), docs)
