@@ -21,7 +21,7 @@ MARKERS = " fooBar &gt note !! . product received for free. heeelp (aside) a*b *
 
 
 def _marked(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))     # a file of one row group would be one task
     return docs.select("doc_id", F.concat("text", F.lit(MARKERS)).alias("s"))
 
 
