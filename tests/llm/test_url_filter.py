@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import time
+from collections import Counter
 
 from topicflow.llm import url_filter as U
 
@@ -63,7 +65,7 @@ def test_viterbi_is_the_best_split():
         counts = {(i, j): r.randint(1, 50) for i in range(len(name)) for j in range(i + 1, len(name) + 1) if r.random() < 0.5}
         cost = lambda i, j: math.log(counts[i, j] / 999) if (i, j) in counts else math.log(1 / 999) - (j - i) * math.log(10)
         best = max(sum(cost(i, j) for i, j in zip((0, *c), (*c, len(name)))) for k in range(len(name)) for c in itertools.combinations(range(1, len(name)), k))
-        got = U.viterbi(name, counts, 999)
+        got = U.viterbi(name, [(i, j, n) for (i, j), n in counts.items()], 999)
         cut = [0, *itertools.accumulate(map(len, got))]
         assert "".join(got) == name and abs(sum(cost(i, j) for i, j in zip(cut, cut[1:])) - best) < 1e-9
 
@@ -75,5 +77,50 @@ def test_segments(spark):
     assert got == {"cheapcasino": ["cheap", "casino"], "riverstone": ["river", "stone"], "qqq": ["qqq"]}
 
 
+def test_long_names_take_linear_time():
+    name = "river" * 40_000
+    hits = [(i, i + 5, 9) for i in range(0, len(name), 5)]
+    start = time.monotonic()
+    assert U.viterbi(name, hits, 999) == ["river"] * 40_000
+    assert U.viterbi("q" * 200_000, [], 999) == ["q" * 200_000]
+    assert time.monotonic() - start < 5
+
+
+def test_words_of_any_valid_length(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    words = spark.createDataFrame([(long, 9), ("casino", 50), ("donau", 50)], "word string, n long")
+    got = U.segment(spark.createDataFrame([(long + "casino",)], "name string"), words, U.Params()).collect()
+    assert got[0]["parts"] == [long, "casino"]
+
+
+def test_words_beside_seeds_block_names_without_one(spark):
+    """`mania` is no seed; only the split of `maniaworld` and the counts of the classifier can block it."""
+    r = random.Random(5)
+    words = ["river", "garden", "cloud", "stone", "paper", "silver", "forest", "window", "club"]
+    rows = [(i, f"https://{r.choice(words)}{r.choice(words)}.example.net/en/{i}", f"<title>{' '.join(words)} mania world</title>") for i in range(200)]
+    rows += [(200 + i, f"https://{r.choice(['casino', 'poker', 'bets'])}mania.example.net/en/{i}", None) for i in range(100)]
+    rows += [(1000, "https://maniaworld.example.net/en/1", None), (1001, "https://riverclub.example.net/en/1", None)]
+    got = {g["page_id"]: g["verdict"] for g in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1000] == "block" and got[1001] == "allow"
+    assert all(got[i] == ("block" if i >= 200 else "allow") for i in range(300))
+
+
+def test_scores_are_naive_bayes(spark):
+    p, r = U.Params(), random.Random(6)
+    rows = [(f"h{i}", f"/p{i}", r.randint(1, 9), [r.choice(["casino", "poker", "win", "river", "club"]) for _ in range(r.randint(0, 5))]) for i in range(60)]
+    block = lambda t: bool(set(t) & set(p.seeds))
+    docs = {k: sum(n for _, _, n, t in rows if block(t) == k) for k in (True, False)}
+    count = {k: Counter() for k in docs}
+    for _, _, n, t in rows:
+        for x in t:
+            count[block(t)][x] += n
+    size = len(set(count[True]) | set(count[False])) + 1
+    chance = lambda x, k: (count[k][x] + p.alpha) / (sum(count[k].values()) + p.alpha * size)
+    prior = math.log((docs[True] + p.alpha) / (docs[False] + p.alpha))
+    got = {g["host"]: g["score"] for g in U.bayes(spark.createDataFrame(rows, "host string, sig string, n long, tokens array<string>"), p).collect()}
+    for h, _, _, t in rows:
+        assert abs(got[h] - prior - sum(math.log(chance(x, True) / chance(x, False)) for x in t)) < 1e-9
+
+
 def test_empty(spark):
     assert U.judge(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -4,11 +4,13 @@ Names like ``freebets`` are split into words by a unigram Viterbi search.
 Word counts come from all page titles, from path words and from name parts
 already set apart by hyphens; ``seeds`` join with a pseudo-count.  Each
 distinct name looks up its substrings by a join, so the word table is never
-broadcast and may grow with the corpus.
+broadcast and may grow with the corpus.  Substrings of up to ``longest_word``
+letters are looked up: all of them in a valid host label, which has 63 at most.
 
 The words of host and path then go through a multinomial naive Bayes
 classifier.  Its training labels are distant: a URL with a seed word is of
-the class block, any other of the class allow, over all URLs.  Counts and
+the class block, any other of the class allow, over all URLs.  A word that
+keeps company with seeds thus blocks names without one.  Counts and
 scores are taken per distinct (host, path with digits folded), so hot hosts
 shrink to one row before anything is joined.
 
@@ -40,7 +42,7 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 class Params:
     rules: tuple = RULES
     seeds: tuple = SEEDS
-    longest_word: int = 20
+    longest_word: int = 63         # longest label of a host name, so every substring of a valid one is a candidate
     seed_count: int = 50           # pseudo-count of a seed among the words
     alpha: float = 0.1
 
@@ -77,15 +79,26 @@ def word_counts(pages: DataFrame, urls: DataFrame, p: Params) -> DataFrame:
                  .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def viterbi(name: str, counts: dict[tuple[int, int], int], total: int) -> list[str]:
-    """Most probable split; a stretch no word covers costs ten times more for each character."""
-    n = len(name)
-    best = [0.0] + [-math.inf] * n
-    back = [0] * (n + 1)
+def viterbi(name: str, hits: list[tuple[int, int, int]], total: int) -> list[str]:
+    """Most probable split; ``hits`` are the words found, as (start, end, count).
+
+    A stretch no word covers costs ten times more for each character.  ``free``
+    is the best split that ends inside such a stretch, which began at ``since``,
+    so the work is linear in the name and its hits.
+    """
+    n, unknown, step = len(name), -math.log(total), math.log(10)
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for i, j, c in hits:
+        ends.setdefault(j, []).append((i, c))
+    best, back = [0.0] * (n + 1), [0] * (n + 1)
+    free, since = -math.inf, 0
     for j in range(1, n + 1):
-        for i in range(j):
-            c = counts.get((i, j))
-            s = best[i] + (math.log(c / total) if c else math.log(1 / total) - (j - i) * math.log(10))
+        if best[j - 1] + unknown > free:
+            free, since = best[j - 1] + unknown, j - 1
+        free -= step
+        best[j], back[j] = free, since
+        for i, c in ends.get(j, ()):
+            s = best[i] + math.log(c / total)
             if s > best[j]:
                 best[j], back[j] = s, i
     out = []
@@ -109,7 +122,7 @@ def segment(found: DataFrame, words: DataFrame, p: Params) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            out = [viterbi(r["name"], {(h["i"], h["j"]): h["n"] for h in r["hits"] or []}, total) for r in b.to_pylist()]
+            out = [viterbi(r["name"], [(h["i"], h["j"], h["n"]) for h in r["hits"] or []], total) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(out, pa.list_(pa.string()))], ["name", "parts"])
 
     return rows.mapInArrow(run, "name string, parts array<string>")
