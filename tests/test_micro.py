@@ -125,22 +125,72 @@ def _lev(a, b):
     return prev[-1]
 
 
+def _alignment(a, b):
+    """Optimal string alignment by recursion over the ends of both strings."""
+    import functools
+
+    @functools.cache
+    def d(i, j):
+        if not i or not j:
+            return i + j
+        best = min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+        return min(best, d(i - 2, j - 2) + 1) if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] else best
+    return d(len(a), len(b))
+
+
 def test_typo_correction_matches_brute_force(spark):
     import random
     rnd = random.Random(1)
-    letters = "abcde"
-    dic = {"".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))): rnd.randint(1, 50) for _ in range(60)}
-    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 10))) for _ in range(80)]
+    letters = "abcdefgh"
+    dic = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))): rnd.randint(1, 50) for _ in range(60)}
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 10))) for _ in range(120)] + ["x", "xyz", "xyzw", "", "\u00e9"]
+    for t in list(dic)[:30]:                             # neighbours swapped, once or twice
+        i = rnd.randrange(len(t))
+        swapped = t[:i] + t[i:i + 2][::-1] + t[i + 2:]
+        words += [swapped, swapped[::-1][:2] + swapped[2:]]
     got = {r["word"]: (r["term"], r["distance"]) for r in lexicon.typo_candidates(
-        spark.createDataFrame([(w,) for w in words], "word string"),
-        spark.createDataFrame(list(dic.items()), "term string, count long"), 3, 7).collect()}
+        spark.createDataFrame([(w,) for w in [*words, None]], "word string"),
+        spark.createDataFrame([*dic.items(), (None, 9)], "term string, count long"), 3, 7).collect()}
     for w in set(words):
-        cands = [(_lev(w, t), -c, t) for t, c in dic.items() if _lev(w, t) <= 3]
+        cands = [(_alignment(w, t), -c, t) for t, c in dic.items() if _alignment(w, t) <= 3]
         if cands:
             d, _, t = min(cands)
             assert got.get(w) == (t, d), (w, got.get(w), (t, d))
         else:
             assert w not in got
+    assert None not in got
+    assert any(_lev(w, t) > d for w, (t, d) in got.items())
+
+
+def test_typo_search_has_no_empty_key(spark):
+    """All short words meet all short terms in the empty key; only the best term of each length may."""
+    words = spark.range(300).selectExpr("concat('a', chr(97 + id % 26), chr(97 + id % 23)) word").distinct()
+    terms = spark.createDataFrame([("xyz", 5), ("zyx", 9), ("yy", 1), ("zz", 1)], "term string, count long")
+    got = lexicon.typo_candidates(words.where("word not rlike '[xyz]'"), terms, 3, 7).collect()
+    assert got and {(r["term"], r["distance"]) for r in got} == {("zyx", 3)}
+
+
+def test_count_vectors_and_mixtures(spark):
+    from collections import Counter
+
+    from topicflow.operators import models
+    rows = [(i, [f"w{(i * 7 + j * j) % 13}" for j in range(i % 9)]) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    terms = models.term_ids(corpus)
+    name = {r["term_id"]: r["term"] for r in terms.collect()}
+    assert sorted(name) == list(range(len(name))) and sorted(name.values()) == sorted({t for _, x in rows for t in x})
+    got = {r["doc_id"]: r["features"] for r in models.count_vectors(corpus, terms).collect()}
+    assert len(got) == len(rows)
+    for i, tokens in rows:
+        assert got[i].size == len(name)
+        assert {name[k]: v for k, v in zip(got[i].indices.tolist(), got[i].values.tolist(), strict=True)} == Counter(tokens)
+    assert models.term_ids(corpus, vocab_size=3).count() == 3
+    few = models.count_vectors(corpus, models.term_ids(corpus, vocab_size=3)).collect()
+    assert len(few) == len(rows) and all(v["features"].size == 3 for v in few)
+    topics, model, feats = models.lda(corpus, 3, max_iter=3, top=4)
+    assert topics.count() == 12 and {r["term"] for r in topics.collect()} <= set(name.values())
+    sums = models.doc_topic_matrix(model, feats.where("doc_id % 9 > 0")).groupBy("doc_id").sum("prob").collect()
+    assert sums and all(abs(r[1] - 1) < 1e-9 for r in sums)
 
 
 def test_exact_sample_and_dense_index(spark):
