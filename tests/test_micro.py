@@ -2,6 +2,7 @@
 
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from topicflow.functions import text as T
@@ -286,6 +287,75 @@ def test_topics_are_reduced_to_the_number_asked_for(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2}
 
 
+def _merged_one_by_one(counts, sizes, nr):
+    """Every weight anew after each merge."""
+    import math
+    counts, sizes = {t: dict(c) for t, c in counts.items()}, dict(sizes)
+    now = {t: t for t in sizes}
+    while len(sizes) > nr:
+        mean = sum(sum(c.values()) for c in counts.values()) // len(counts)
+        f = {}
+        for c in counts.values():
+            for w, n in c.items():
+                f[w] = f.get(w, 0) + n
+        weight = {t: {w: n / sum(c.values()) * math.log(1 + mean / f[w]) for w, n in c.items()} for t, c in counts.items()}
+        dot = lambda a, b: sum(x * weight[b].get(w, 0) for w, x in weight[a].items())
+        least = min(sizes, key=lambda t: (sizes[t], t))
+        target = min((t for t in counts if t != least), key=lambda t: (-round(dot(least, t) / math.sqrt(dot(least, least) * dot(t, t)), 12), t))
+        for w, n in counts.pop(least).items():
+            counts[target][w] = counts[target].get(w, 0) + n
+        sizes[target] += sizes.pop(least)
+        now = {t: target if x == least else x for t, x in now.items()}
+    return now
+
+
+def test_merge_tree_is_the_loop_at_every_count(spark):
+    import random
+    from collections import Counter
+
+    from topicflow.operators import models as M
+    r = random.Random(4)
+    counts = {t: Counter(f"w{int(r.triangular(0, 40, (t * 7) % 40))}" for _ in range(r.randint(5, 200))) for t in range(3, 17)}
+    sizes = {t: r.randint(1, 12) for t in counts}
+    c = spark.createDataFrame([(t, w, n) for t, x in counts.items() for w, n in x.items()], "topic long, term string, n long").repartition(5)
+    z = spark.createDataFrame(list(sizes.items()), "topic long, size long")
+    tree = M.merge_tree(c, z)
+    assert M.merge_tree(c, z, cells=400) == tree                    # in several passes
+    for nr in range(1, 16):
+        got = {x["topic"]: x["new_topic"] for x in M.cut_tree(tree, z, nr).collect()}
+        assert got == _merged_one_by_one(counts, sizes, nr) and len(set(got.values())) == min(nr, len(sizes))
+    empty = M.merge_tree(c, z.union(spark.createDataFrame([(99, 0)], "topic long, size long")), 14)
+    assert empty == [(99, 3)]                                       # a topic without words joins the first
+    assert M.merge_tree(c.limit(0), z.limit(0)) == []
+
+
+def test_grid_goes_on_where_it_stopped(spark, tmpdir_path, monkeypatch):
+    from topicflow.plans import trainer
+    corpus = spark.createDataFrame([(i, ["a", "b", "c", "d"][i % 3:]) for i in range(12)], "doc_id long, tokens array<string>")
+    ran = []
+
+    def fit(corpus, params):
+        ran.append(params["num_topics"])
+        if params["num_topics"] == stop:
+            raise RuntimeError("stopped")
+        return spark.createDataFrame([(0, 0, "a", 1.0), (0, 1, "b", 0.5)], "topic long, rank long, term string, weight double")
+
+    monkeypatch.setitem(trainer.TRAINERS, "Planted", fit)
+    monkeypatch.setattr(trainer.Q, "score_summary", lambda corpus, topics, **_: topics.agg(F.count(F.lit(1)).alias("cv")))
+    path, grid, stop = tmpdir_path + "/runs", {"num_topics": [2, 3, 4, 5], "note": "x"}, 4
+    with pytest.raises(RuntimeError):
+        trainer.train(corpus, "Planted", grid, save=path, resume=True)
+    kept = {r["Topic Numbers"] for r in trainer.read_records(spark, path).collect()}
+    assert {2, 3} <= kept and 4 not in kept
+    stop, ran[:] = None, []
+    got = trainer.train(corpus, "Planted", grid, save=path, resume=True, parallel=2).collect()
+    assert sorted(ran) == sorted({2, 3, 4, 5} - kept)
+    assert [r["Topic Numbers"] for r in got] == [2, 3, 4, 5] and trainer.read_records(spark, path).count() == 4
+    again = trainer.train(corpus, "Planted", grid, parallel=3).collect()
+    strip = lambda rows: [{k: v for k, v in r.asDict().items() if k != "Computation Time"} for r in rows]
+    assert strip(again) == strip(got)
+
+
 def test_phrase_repeat_by_line_is_the_whole_pattern(spark):
     import random
     from pyspark.sql import functions as F
