@@ -8,7 +8,7 @@ from tests.oracle_harness import compare, duck
 
 DATA = "/root/testdata/sf0.001"
 FAST = ["flagship_lang_topics", "p1_min_length", "p4_exact_sample", "t16_chain_without_backrefs", "t4_step",
-        "t17_language_vote", "k10_simple_tokenize", "k11_markup_tokenize", "v1_vocab_df_bounded", "v8_tfidf",
+        "t17_language_vote", "t17_language_profiles", "t17_profiles_against_vote", "k10_simple_tokenize", "k11_markup_tokenize", "v1_vocab_df_bounded", "v8_tfidf",
         "m11_top_words_source", "q_npmi_source", "q_cv_source", "q_ca_source", "q_cp_benchmark",
         "a7_comparison_table", "a9_top_three", "m15_nearest_topic", "o3_topics_over_time", "o1_time_bins_events",
         "k7_collocations", "k8_apply_collocations", "k9_lemmatise"]

@@ -8,7 +8,7 @@ from ..functions import stopwords
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.patterns import NONSPACE_CLASS, NONWORD_CLASS, SPACE_CLASS, WORD_CLASS, sql_quote
-from ..operators import collocations, filters, language, vocab
+from ..operators import collocations, filters, language, language_profiles, vocab
 from ..session import spread
 from ..sources.tables import read_table
 from . import corpus as C
@@ -119,6 +119,53 @@ def t17_language_vote(spark, d):
     return language.vote(toks, langs=VOTE_LANGS)
 
 
+_PROFILE_CTES = f"""
+words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '{LETTER_TOKENS}')) AS w FROM documents),
+uw AS (SELECT w, unnest(list_transform(range(1, greatest(length(w), 1) + 1), lambda i: substr(' ' || w || ' ', i, 3))) AS gram FROM (SELECT DISTINCT w FROM words)),
+prof AS (SELECT lang, gram, sum(n) AS c FROM (SELECT lang, w, count(*) AS n FROM words WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL) JOIN uw USING (w) GROUP BY ALL),
+cost AS (SELECT lang, CAST(round(ln(sum(c) + (SELECT count(DISTINCT gram) FROM prof)) * 1000000) AS BIGINT) AS cost FROM prof GROUP BY lang),
+ws AS (SELECT w, lang, sum(coalesce(wt, 0)) - count(*) * any_value(cost) AS s
+       FROM uw CROSS JOIN cost LEFT JOIN (SELECT lang, gram, CAST(round(ln(c + 1) * 1000000) AS BIGINT) AS wt FROM prof) USING (lang, gram) GROUP BY w, lang),
+scored AS (SELECT doc_id, ws.lang, sum(s * n) AS s FROM (SELECT doc_id, w, count(*) AS n FROM words GROUP BY ALL) JOIN ws USING (w) GROUP BY ALL),
+best AS (SELECT doc_id, lang AS detected_lang, s FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1),
+judged AS (SELECT d.doc_id, d.lang, d.doc_id % 5 = 0 AS held_out, detected_lang, s FROM documents d LEFT JOIN best USING (doc_id))"""
+
+
+def _profiles(spark, d):
+    """Learned from the rows outside the held-out fold (a fifth of the ids), applied to all rows."""
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "lang", "text"))
+    toks = docs.select("doc_id", "lang", (F.col("doc_id") % 5 == 0).alias("held_out"), K.extract(F.lower("text"), LETTER_TOKENS).alias("tokens"))
+    found = language_profiles.classify(toks, language_profiles.learn(toks.where(~F.col("held_out"))))
+    return toks, toks.select("doc_id", "lang", "held_out").join(found, "doc_id")
+
+
+@register("t17_language_profiles", f"""
+WITH {_PROFILE_CTES.strip()}
+SELECT doc_id, held_out, detected_lang, round(s / 1000000, 6) AS score FROM judged
+""")
+def t17_language_profiles(spark, d):
+    _, judged = _profiles(spark, d)
+    return judged.select("doc_id", "held_out", "detected_lang", F.round("score", 6).alias("score"))
+
+
+@register("t17_profiles_against_vote", f"""
+WITH {_sw_values()},
+toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{LETTER_TOKENS}')) AS term FROM documents),
+hits AS (SELECT doc_id, lang, count(*) AS hits FROM toks JOIN sw USING (term) GROUP BY ALL),
+vote AS (SELECT doc_id, lang AS voted FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) = 1),
+{_PROFILE_CTES.strip()}
+SELECT lang, count(*) AS n_docs, count(*) FILTER (detected_lang = lang) AS profile_right, count(*) FILTER (voted = lang) AS vote_right
+FROM judged LEFT JOIN vote USING (doc_id) WHERE held_out GROUP BY lang
+""")
+def t17_profiles_against_vote(spark, d):
+    """Held-out documents each way names right, by language."""
+    toks, judged = _profiles(spark, d)
+    vote = language.vote(toks, langs=VOTE_LANGS).select("doc_id", F.col("detected_lang").alias("voted"))
+    right = lambda c: F.count(F.when(F.col(c) == F.col("lang"), 1))
+    return judged.where("held_out").join(vote, "doc_id", "left").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"), right("detected_lang").alias("profile_right"), right("voted").alias("vote_right"))
+
+
 @register("k12_sentence_english")
 def k12_sentence_english(spark, d):
     """f_base chain, then null unless the stop-word vote says English."""
