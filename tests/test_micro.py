@@ -461,3 +461,13 @@ def test_full_pipelines_run_every_stage(spark):
     assert all(t in lemmas for t in seen if "_" not in t)
     k14 = registry.QUERIES["k14_corpus_pipeline_full"](spark, sf).collect()
     assert k14 and all(r["tokens"].split(" ") == full[r["doc_id"]] and r["source_index"] == r["doc_id"] for r in k14)
+
+
+def test_dense_index_holds_for_every_column_of_wide_rows(spark):
+    """The counts must not come from another partitioning than the rows (bounds are drawn, partitions merged by size)."""
+    from pyspark.sql import functions as F
+    rows = spark.range(20000).repartition(7).withColumn(
+        "pad", F.expr("array_join(transform(sequence(1, 40), i -> sha2(concat(id, ':', i), 256)), '')"))
+    got = filters.dense_index(rows.orderBy("id"), "at").where("at <> id or at is null").count()
+    numbered = filters.dense_index(rows.orderBy("id"), "at").agg(F.count_distinct("at").alias("n"), F.max("at").alias("m"), F.min(F.length("pad")).alias("p")).first()
+    assert got == 0 and (numbered["n"], numbered["m"]) == (20000, 19999)
