@@ -471,3 +471,29 @@ def test_dense_index_holds_for_every_column_of_wide_rows(spark):
     got = filters.dense_index(rows.orderBy("id"), "at").where("at <> id or at is null").count()
     numbered = filters.dense_index(rows.orderBy("id"), "at").agg(F.count_distinct("at").alias("n"), F.max("at").alias("m"), F.min(F.length("pad")).alias("p")).first()
     assert got == 0 and (numbered["n"], numbered["m"]) == (20000, 19999)
+
+
+def test_repeated_phrases_of_any_length_like_the_pattern():
+    import random
+    import re
+    from topicflow.functions.repeats import collapse
+    r = random.Random(5)
+
+    def text(letters, n):
+        return "".join(r.choice(letters) for _ in range(n))
+    made = []
+    for letters in ("a", "ab", "ab\n", "abcdé𝔸 ", "abcdefghijklmnopqrstuvwxyz "):
+        for _ in range(150):
+            made.append(text(letters, r.randint(0, 30)) + text(letters, r.randint(1, 90)) * r.randint(1, 4) + text(letters, r.randint(0, 9)))
+    expect = [re.sub(r"(.{2,}?)\1+", r"\1", t) for t in made]
+    assert list(collapse(made)) == expect and list(collapse([None, "", "banana", None])) == [None, "", "bana", None]
+
+
+def test_repeated_phrase_of_a_long_line_in_time(spark):
+    import time
+    from topicflow.functions.text import t12_phrase_repeat
+    line = "".join(f"{i:x} " for i in range(1, 12000))           # one line without a long repetition
+    df = spark.createDataFrame([(line + str(i),) for i in range(8)], "s string").select(t12_phrase_repeat("s").alias("s"))
+    begun = time.time()
+    assert df.where("length(s) > 10000").count() == 8
+    assert time.time() - begun < 20

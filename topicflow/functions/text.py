@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import NONSPACE_CLASS, NONWORD_CLASS, SPACE_CLASS, WORD_CLASS
+from .repeats import collapse
 
 # Boilerplate phrase removed by T11 (default list).
 DEFAULT_NOISE_PHRASES = ("product received for free",)
@@ -86,11 +87,14 @@ def t11_noise_phrases(col, phrases: Sequence[str] = DEFAULT_NOISE_PHRASES) -> Co
 def t12_phrase_repeat(col) -> Column:
     """Collapse a repeated phrase of 2+ characters to one copy (``banana`` -> ``bana``).
 
-    ``.`` never crosses a newline, so the pattern is applied line by line: the
-    same text, at a cost that grows with the square of the line's length only.
+    The same as ``(.{2,}?)\\1+`` -> ``\\1``, whose matcher tries every length at
+    every place (the square of a line's length); see ``repeats``.
     """
-    one = lambda s: F.regexp_replace(s, r"(?d)(.{2,}?)\1+", "$1")
-    return F.array_join(F.transform(F.split(_c(col), "\n", -1), one), "\n")
+    @F.arrow_udf("string")
+    def one(texts):
+        import pyarrow as pa
+        return pa.array(collapse(texts.to_pylist()), pa.string())
+    return one(_c(col))
 
 
 def t13_drop_emails(col) -> Column:
