@@ -497,3 +497,16 @@ def test_repeated_phrase_of_a_long_line_in_time(spark):
     begun = time.time()
     assert df.where("length(s) > 10000").count() == 8
     assert time.time() - begun < 20
+
+
+def test_restricted_tokens_stay_in_the_document_layout(spark):
+    """V4 of rows that lie by document: the tokens are not shuffled, by a lower bound or without one."""
+    from topicflow.operators import vocab
+    rows = [(i, "en", ["every", "rare" + str(i), "half"] if i % 2 else ["every", "rare" + str(i)]) for i in range(40)]
+    df = spark.createDataFrame(rows + [(None, "en", ["half"]), (50, None, None)], "doc_id long, lang string, tokens array<string>").repartition("doc_id")
+    for low, high, expect in ((0.0, 0.9, {"half", "rare"}), (0.1, 0.9, {"half"}), (0.1, 1.0, {"every", "half"})):
+        out = vocab.restrict_by_df_bounds(df, low, high, keep=("lang",))
+        assert {t.rstrip("0123456789") for r in out.collect() for t in r["tokens"]} == expect
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        moves = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+        assert moves and all("REPARTITION_BY_COL" in x for x in moves)
