@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pinned
-from .vocab import explode_tokens
+from .vocab import explode_tokens, listed
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ def emissions(df: DataFrame, lexicon: DataFrame, tags: tuple[str, ...], id_col:
     whole = lexicon.groupBy("tag").agg(F.sum("weight").alias("_all"))
     share = lexicon.groupBy("term", "tag").agg(F.sum("weight").alias("_w")).join(whole, "tag")
     per_tag = [F.coalesce(F.max(F.when(F.col("tag") == t, F.col("_w") / F.col("_all"))), F.lit(0.0)) for t in tags]
-    rows = share.groupBy("term").agg(F.array(*per_tag).alias("_e"))
+    rows = listed(share.groupBy("term").agg(F.array(*per_tag).alias("_e")))
     long = explode_tokens(df, (id_col,), tokens).join(rows, "term", "left")
     long = long.withColumn("_e", F.coalesce("_e", F.array(*[F.lit(1.0)] * len(tags))))
     docs = long.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "term", "_e"))).alias("_p"))
