@@ -74,6 +74,34 @@ def test_against_plain(spark, slices):
         assert np.allclose(got[key], w, rtol=1e-6, atol=1e-12)
 
 
+def test_documents_of_a_batch_are_found_together():
+    """Many documents at once, of one term and of many, as one by one."""
+    r = np.random.default_rng(3)
+    p = D.Params(k=4, rounds=7)
+    size = np.array([1, 5, 1, 40, 2])
+    n, phi, at = r.poisson(2, size.sum()) + 1.0, r.dirichlet(np.ones(4), size.sum()), np.append(0, size.cumsum()[:-1])
+    want = np.concatenate([D.mixture(n[a:a + s], phi[a:a + s], p)[1] for a, s in zip(at, size)])
+    assert np.allclose(D.mixtures(n, phi, at, p), want, rtol=1e-12)
+
+
+def test_expected_counts_of_tables(spark):
+    """More documents than go into one step, of every slice; the sums are those of each document alone."""
+    r = np.random.default_rng(5)
+    p = D.Params(k=3, rounds=4)
+    docs = [(i, i % 3, sorted({f"t{t}" for t in r.integers(0, 30, r.integers(1, 9))})) for i in range(700)]
+    bag = [(i, s, t, 1 + (i + len(t)) % 3) for i, s, terms in docs for t in terms]
+    phi = {(s, f"t{t}"): r.dirichlet(np.ones(3)).tolist() for s in range(3) for t in range(30)}
+    got = D._expected(spark.createDataFrame(bag, "id long, slice int, term string, n long"),
+                      spark.createDataFrame([(*k, v) for k, v in phi.items()], "slice int, term string, phi array<double>"), p)
+    want = {}
+    for i, s, terms in docs:
+        c = D.mixture(np.array([n for j, _, _, n in bag if j == i], float), np.array([phi[s, t] for t in terms]), p)[1]
+        for t, row in zip(terms, c):
+            want[s, t] = want.get((s, t), 0) + row
+    rows = {(x["slice"], x["term"]): x["c"] for x in got.collect()}
+    assert set(rows) == set(want) and all(np.allclose(rows[k], want[k], rtol=1e-9) for k in want)
+
+
 def smoothed_by_solving(y, exposure, drift):
     """The mode of the walk's posterior by Newton steps on all slices at once."""
     n = len(y)

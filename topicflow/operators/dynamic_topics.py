@@ -55,6 +55,20 @@ def mixture(n: np.ndarray, phi: np.ndarray, p: Params) -> tuple[np.ndarray, np.n
     return theta, n[:, None] * share / share.sum(1, keepdims=True)
 
 
+def mixtures(n: np.ndarray, phi: np.ndarray, at: np.ndarray, p: Params) -> np.ndarray:
+    """Expected counts of many documents at once, as ``mixture`` finds them: the terms of one begin at each of ``at``."""
+    doc = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(n))))
+    n = n[:, None]
+    theta = np.full((len(at), phi.shape[1]), 1.0 / phi.shape[1])
+    for _ in range(p.rounds):
+        share = phi * theta[doc]
+        share *= n / share.sum(1, keepdims=True)
+        theta = np.add.reduceat(share, at) + p.alpha
+        theta /= theta.sum(1, keepdims=True)
+    share = phi * theta[doc]
+    return share * (n / share.sum(1, keepdims=True))
+
+
 def smooth(counts: np.ndarray, totals: np.ndarray, p: Params, n_terms: int) -> np.ndarray:
     """Log weights (terms x slices x topics) from expected counts of that shape and ``totals`` (slices x topics)."""
     y = counts + p.eta
@@ -112,11 +126,15 @@ def _expected(bag: DataFrame, phi: DataFrame, p: Params) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for b in batches:
-            for row in b.to_pylist():
-                x = row["x"]
-                _, c = mixture(np.array([r["n"] for r in x], float), np.array([r["phi"] for r in x]), p)
-                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]] * len(x), pa.int32()), pa.array([r["term"] for r in x]),
-                                                  *[pa.array(c[:, k]) for k in range(p.k)]], ["slice", "term", *columns])
+            for part in (b.slice(s, 256) for s in range(0, b.num_rows, 256)):
+                x = part.column("x")                                     # a term or more in each
+                term, n, weights = x.flatten().flatten()
+                doc = x.value_parent_indices().to_numpy()
+                at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                c = mixtures(n.to_numpy().astype(float), weights.flatten().to_numpy().reshape(-1, p.k), at, p)
+                at_slice = np.repeat(part.column("slice").to_numpy(), np.diff(np.append(at, len(doc))))
+                yield pa.RecordBatch.from_arrays([pa.array(at_slice, pa.int32()), term, *[pa.array(c[:, k]) for k in range(p.k)]],
+                                                 ["slice", "term", *columns])
 
     columns = [f"c{k}" for k in range(p.k)]
     given = _documents(bag, phi).mapInArrow(run, "slice int, term string, " + ", ".join(f"{c} double" for c in columns))
