@@ -510,3 +510,25 @@ def test_restricted_tokens_stay_in_the_document_layout(spark):
         plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         moves = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
         assert moves and all("REPARTITION_BY_COL" in x for x in moves)
+
+
+def test_cluster_topics_find_their_vectors_and_counts_once(spark):
+    """The fits and the merges read documents and tokens that were found once."""
+    from topicflow.plans import pipelines
+    vectors, words = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vec(i):
+        vectors.add(1)
+        return [float(i % 4 == k) + i / 1000 for k in range(6)]
+
+    @F.udf("array<string>")
+    def toks(i):
+        words.add(1)
+        return [f"w{i % 4}", f"w{i % 4}", "all", f"x{i % 8}"]
+
+    docs = spark.range(60).withColumnRenamed("id", "doc_id").repartition(2)
+    got = pipelines.cluster_topics(docs.select("doc_id", toks("doc_id").alias("tokens")), nr_topics=2, n_clusters=4, min_topic_size=2,
+                                   doc_vectors=docs.select("doc_id", vec("doc_id").alias("doc_vec")), k=3).collect()
+    assert len({r["topic"] for r in got}) == 2
+    assert (vectors.value, words.value) == (60, 60)
