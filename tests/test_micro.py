@@ -163,6 +163,18 @@ def test_typo_correction_matches_brute_force(spark):
     assert any(_lev(w, t) > d for w, (t, d) in got.items())
 
 
+def test_typo_pairs_are_tested_in_the_join_but_swaps_after_it(spark):
+    """Of the candidates only near ones reach the interpreted test of the swaps; swapped, they are right at every distance."""
+    words = spark.createDataFrame([(w,) for w in ("ba", "badc", "badcfe", "badcfegh", "abcx\u00e9h", "\U0001F600bcdefgh")], "word string")
+    terms = spark.createDataFrame([("abcdefgh", 5), ("abcdef", 4), ("abcd", 3), ("ab", 2)], "term string, count long")
+    got = {r["word"]: (r["term"], r["distance"]) for r in lexicon.typo_candidates(words, terms, 3, 7).collect()}
+    assert got == {"ba": ("ab", 1), "badc": ("abcd", 2), "badcfe": ("abcdef", 3), "badcfegh": ("abcdefgh", 3),
+                   "abcx\u00e9h": ("abcdef", 3), "\U0001F600bcdefgh": ("abcdefgh", 1)}
+    plan = lexicon._nearest(words, terms, 3, 7)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join Inner" in line and "key" in line]
+    assert joins and all("levenshtein" in j and "exists" not in j and "reverse" not in j for j in joins), plan
+
+
 def test_typo_search_has_no_empty_key(spark):
     """All short words meet all short terms in the empty key; only the best term of each length may."""
     words = spark.range(300).selectExpr("concat('a', chr(97 + id % 26), chr(97 + id % 23)) word").distinct()
