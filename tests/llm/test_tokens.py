@@ -92,3 +92,10 @@ def test_length_histogram(spark):
     assert token_counts.quantile(table, 0.5).first()["length"] == lens[(len(lens) - 1) // 2]
     assert token_counts.token_counts(docs.limit(0)).count() == 0
     assert table.agg(F.sum("n_docs")).first()[0] == len(rows)
+
+
+def test_a_text_of_one_word_is_counted_beside_texts_that_begin_with_it():
+    count = token_counts.Counter(token_counts.Params())
+    texts = ["word", "word and more", None, "word", "a word", "more"]
+    plain = [len(count.encoding.encode_ordinary(t or "")) for t in texts]
+    assert count(texts) == plain and count(texts[::-1]) == plain[::-1]

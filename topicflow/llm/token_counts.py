@@ -49,8 +49,7 @@ class Counter:
                 cut.append([first, *[" " + x for x in rest]])
         if len(self.known) > self.p.memo:
             self.known.clear()
-        whole = {c[0] for c in cut if len(c) == 1}
-        new = list(set().union(*cut).difference(self.known, whole))
+        new = list(set().union(*(c for c in cut if len(c) > 1)).difference(self.known))     # a whole text may be another's first piece
         self.known.update(zip(new, map(len, map(self.encoding.encode_ordinary, new))))
         get = self.known.__getitem__
         return [len(self.encoding.encode_ordinary(c[0])) if len(c) == 1 else sum(map(get, c)) for c in cut]
