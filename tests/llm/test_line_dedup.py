@@ -5,6 +5,7 @@ import re
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from topicflow.llm import line_dedup as L
@@ -98,6 +99,23 @@ def test_against_plain(spark, p):
     assert sum(a[1] != b[1] for a, b in zip(rows, want)) > 5
 
 
+def test_bytes_decide_where_hashes_are_equal(spark, monkeypatch):
+    rows = extra_rows()
+    df = spark.createDataFrame([(i, t, len(t or ""), 1, "q", "k", 2.0) for i, t in rows], SCHEMA)
+    monkeypatch.setattr(L, "_hash", lambda t: F.octet_length(t).cast("long") % 7)
+    got = L.line_dedup(df, SMALL).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(plain_dedup(rows, SMALL), key=repr)
+
+
+def test_text_is_shuffled_once(spark):
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in corpus()], "doc_id long, text string, n_chars long")
+    out = L.line_dedup(df)
+    plan = out._jdf.queryExecution().executedPlan()
+    out.collect()
+    final = plan.toString().split("Initial Plan")[0]
+    assert len(re.findall(r"^\W*(?:\d+ )?Exchange hashpartitioning\(a#\d+L, b#\d+L", final, re.M)) <= 2, final      # text, places
+
+
 def test_null_ids_repeats_long_and_empty(spark):
     text = "One sentence here. Another sentence there. A third one follows."
     rows = [(None, text), (1, text), (1, text), (2, "x" * 200_000), (3, "A b. C d. " * 30_000)]
