@@ -150,3 +150,24 @@ def test_linked_slices_beat_single_ones(spark):
     for r in D.top_terms(linked, 8).collect():
         top.setdefault((r["slice"], r["topic"]), set()).add(r["term"])
     assert all(len(top[s, k] & top[s + 1, k]) > len(top[s, k] & top[s + 1, 1 - k]) for s in range(SLICES - 1) for k in range(K))
+
+
+def test_a_block_asks_for_a_term_once(spark):
+    """Documents of two blocks and two slices: one row for each block and term, and the sums of ``mixture``."""
+    r = np.random.default_rng(8)
+    bag = [(i, i % 2, f"t{t}", int(r.integers(1, 4))) for i in range(300) for t in r.choice(12, 5, replace=False)] + [(None, 1, "t0", 2), (7, 1, "unknown", 1)]
+    bag = spark.createDataFrame(bag, "id long, slice int, term string, n long")
+    p = D.Params(k=2, rounds=4, block=1000)
+    blocks, terms = D._blocks(bag, p)
+    assert terms.count() <= 13 * blocks.count() < 300 and terms.count() == terms.select("slice", "block", "term").distinct().count()
+    phi = {(s, f"t{t}"): r.random(2) for s in range(2) for t in range(12)}
+    table = spark.createDataFrame([(s, t, [float(v) for v in x]) for (s, t), x in phi.items()], "slice int, term string, phi array<double>")
+    want, docs = {}, {}
+    for x in bag.where("term <> 'unknown'").collect():
+        docs.setdefault((x["id"], x["slice"]), []).append((x["term"], x["n"]))
+    for (_, s), rows in docs.items():
+        c = D.mixture(np.array([n for _, n in rows], float), np.array([phi[s, t] for t, _ in rows]), p)[1]
+        for (t, _), v in zip(rows, c):
+            want[s, t] = want.get((s, t), 0) + v
+    got = {(x["slice"], x["term"]): x["c"] for x in D._expected(bag, table, p).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)

@@ -12,7 +12,9 @@ from its weights.  The fit alternates
 
 Weights and counts are tables by (slice, term); a term's row holds ``k`` values
 for each slice, so neither the vocabulary nor the model ever reaches the driver,
-only ``slices x k`` totals do.  A document is one unit of work.  All slices
+only ``slices x k`` totals do.  Documents are packed into blocks once; in each
+iteration only the weights of a block's terms and its sums per term move.  A
+block is one unit of work.  All slices
 start from one seeded table, so topic numbers mean the same in every slice.
 """
 
@@ -39,6 +41,7 @@ class Params:
     drift: float = 0.05          # variance of a log weight's step; 0: one table for all slices
     passes: int = 6              # linearisations of a smoothing
     seed: int = 0
+    block: int = 500_000         # rows (document, term) held by a task at a time, or one document
 
 
 # -- numerics -------------------------------------------------------------------
@@ -116,28 +119,72 @@ def _normalised(weights: DataFrame, p: Params) -> DataFrame:
     return weights.join(F.broadcast(sums), "slice").select("slice", "term", F.zip_with("w", "s", lambda a, b: a / b).alias("phi"))
 
 
-def _documents(bag: DataFrame, phi: DataFrame) -> DataFrame:
-    """``id, slice, x``: a document's terms with their counts and weights."""
-    return bag.join(phi, ["slice", "term"]).groupBy("id", "slice").agg(F.sort_array(F.collect_list(F.struct("term", "n", "phi"))).alias("x"))
+def _blocks(bag: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Documents of a slice in blocks of about ``p.block`` rows of ``bag``, dealt by id.
+
+    The first table has a row for each block: where its documents begin (``at``), and for each of its
+    rows the place of the term in ``terms`` and the count.  The second is ``slice, block, i, term``.
+    A block asks for the weights of its terms once, however many of its documents hold them.
+    """
+    def pack(key, rows):
+        import pyarrow as pa
+        doc = rows.column("id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        term = rows.column("term").combine_chunks().dictionary_encode()
+        names = np.array(term.dictionary.to_pylist(), object)
+        order = np.argsort(names)
+        place = np.empty(len(names), np.int32)
+        place[order] = np.arange(len(names), dtype=np.int32)
+        i = place[term.indices.to_numpy()]
+        by = np.lexsort((i, doc))
+        at = np.flatnonzero(np.diff(doc[by], prepend=-1)).astype(np.int32)
+        cells = [[key[0].as_py()], [key[1].as_py()], [at], [i[by]], [rows.column("n").to_numpy()[by]], [names[order]]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(cells, layout)], schema=layout)
+
+    import pyarrow as pa
+    layout = pa.schema([("slice", pa.int32()), ("block", pa.int64()), ("at", pa.list_(pa.int32())), ("i", pa.list_(pa.int32())),
+                        ("n", pa.list_(pa.int64())), ("terms", pa.list_(pa.string()))])
+    bag = bag.where("slice is not null and term is not null")
+    n, slices = bag.agg(F.count(F.lit(1)), F.countDistinct("slice")).first()
+    many = int(max(n / p.block, bag.sparkSession.sparkContext.defaultParallelism) / max(slices, 1)) + 1
+    rows = bag.select("id", F.col("slice").cast("int").alias("slice"), "term", F.col("n").cast("long").alias("n"), F.pmod(F.xxhash64("id"), F.lit(many)).alias("block"))
+    blocks = pinned(rows.groupBy("slice", "block").applyInArrow(pack, "slice int, block long, at array<int>, i array<int>, n array<long>, terms array<string>"))
+    return blocks, pinned(blocks.select("slice", "block", F.posexplode("terms").alias("i", "term")))
 
 
 def _expected(bag: DataFrame, phi: DataFrame, p: Params) -> DataFrame:
     """``slice, term, c``: expected counts of each topic."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        for b in batches:
-            for part in (b.slice(s, 256) for s in range(0, b.num_rows, 256)):
-                x = part.column("x")                                     # a term or more in each
-                term, n, weights = x.flatten().flatten()
-                doc = x.value_parent_indices().to_numpy()
-                at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                c = mixtures(n.to_numpy().astype(float), weights.flatten().to_numpy().reshape(-1, p.k), at, p)
-                at_slice = np.repeat(part.column("slice").to_numpy(), np.diff(np.append(at, len(doc))))
-                yield pa.RecordBatch.from_arrays([pa.array(at_slice, pa.int32()), term, *[pa.array(c[:, k]) for k in range(p.k)]],
-                                                 ["slice", "term", *columns])
+    return _expected_of(*_blocks(bag, p), phi, p)
+
 
+def _expected_of(blocks: DataFrame, terms: DataFrame, phi: DataFrame, p: Params) -> DataFrame:
+    """The same, of blocks; terms without weights are left out."""
     columns = [f"c{k}" for k in range(p.k)]
-    given = _documents(bag, phi).mapInArrow(run, "slice int, term string, " + ", ".join(f"{c} double" for c in columns))
+
+    def run(block, weights):
+        import pyarrow as pa
+        total = np.zeros((0, p.k))
+        known, names = np.zeros(0, bool), pa.array([], pa.string())
+        if block.num_rows and weights.num_rows:
+            cell = lambda c: block.column(c).chunk(0).flatten()
+            names, at, i, n = cell("terms"), *(cell(c).to_numpy() for c in ("at", "i", "n"))
+            w, known = np.zeros((len(names), p.k)), np.zeros(len(names), bool)
+            here = weights.column("i").to_numpy()
+            known[here] = True
+            for k, c in enumerate(columns):
+                w[here, k] = weights.column(c).to_numpy()
+            doc = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(i))))[known[i]]
+            i, n = i[known[i]], n[known[i]].astype(float)
+            at = np.flatnonzero(np.diff(doc, prepend=-1))
+            parts = [slice(at[a], at[a + 256] if a + 256 < len(at) else len(i)) for a in range(0, len(at), 256)]
+            found = np.concatenate([mixtures(n[x], w[i[x]], at[256 * j:256 * (j + 1)] - x.start, p) for j, x in enumerate(parts)])
+            total = np.stack([np.bincount(i, found[:, k], len(names)) for k in range(p.k)], 1)
+        at_slice = block.column("slice")[0].as_py() if block.num_rows else 0
+        kept = np.flatnonzero(known)
+        return pa.table([pa.array(np.full(len(kept), at_slice, np.int32)), names.take(pa.array(kept)), *[pa.array(total[kept, k]) for k in range(p.k)]],
+                        names=["slice", "term", *columns])
+
+    asked = terms.join(phi, ["slice", "term"]).select("slice", "block", "i", *[F.col("phi")[k].alias(c) for k, c in enumerate(columns)])
+    given = blocks.groupBy("slice", "block").cogroup(asked.groupBy("slice", "block")).applyInArrow(run, "slice int, term string, " + ", ".join(f"{c} double" for c in columns))
     return given.groupBy("slice", "term").agg(F.array(*[F.sum(c) for c in columns]).alias("c"))
 
 
@@ -151,13 +198,14 @@ def _weights(expected: DataFrame, slices: int, n_terms: int, p: Params) -> DataF
         import pyarrow as pa
         for b in batches:
             counts = np.zeros((b.num_rows, slices, p.k))
-            for i, row in enumerate(b.column("x").to_pylist()):
-                for s in row:
-                    counts[i, s["slice"]] = s["c"]
+            x = b.column("x")
+            at_slice, c = x.flatten().flatten()
+            counts[x.value_parent_indices().to_numpy(), at_slice.to_numpy()] = c.flatten().to_numpy().reshape(-1, p.k)
             w = np.exp(smooth(counts, totals, p, n_terms))
-            terms = b.column("term").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(list(range(slices)) * len(terms), pa.int32()), pa.array([t for t in terms for _ in range(slices)], pa.string()),
-                                              pa.array(w.reshape(-1, p.k).tolist(), pa.list_(pa.float64()))], ["slice", "term", "w"])
+            each = np.arange(b.num_rows).repeat(slices)
+            ends = pa.array(np.arange(len(each) + 1, dtype=np.int32) * p.k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(slices, dtype=np.int32), b.num_rows)), b.column("term").take(pa.array(each)),
+                                              pa.ListArray.from_arrays(ends, pa.array(w.ravel()))], ["slice", "term", "w"])
 
     rows = expected.groupBy("term").agg(F.collect_list(F.struct("slice", "c")).alias("x"))             # a row for each slice at most
     return rows.mapInArrow(run, "slice int, term string, w array<double>")
@@ -165,14 +213,15 @@ def _weights(expected: DataFrame, slices: int, n_terms: int, p: Params) -> DataF
 
 def fit(bag: DataFrame, slices: int, p: Params = Params()) -> DataFrame:
     """``slice, term, phi``: the weights of the ``k`` topics in each of the slices 0, 1, ... of ``id, slice, term, n``."""
-    bag = pinned(bag.repartition("slice", "term"))
+    bag = pinned(bag)
+    blocks = _blocks(bag, p)
     terms = bag.groupBy("term").agg(F.sum("n").cast("double").alias("n"))
     start = _start(terms, p).select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "term", "w")
     phi = pinned(_normalised(start, p))
     n_terms = terms.count()
     for i in range(p.warm + p.iterations):
         now = Params(**{**p.__dict__, "drift": 0.0}) if i < p.warm else p
-        phi = pinned(_normalised(pinned(_weights(pinned(_expected(bag, phi, p)), slices, n_terms, now)), p))
+        phi = pinned(_normalised(pinned(_weights(pinned(_expected_of(*blocks, phi, p)), slices, n_terms, now)), p))
     return phi
 
 
