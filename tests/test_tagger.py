@@ -74,3 +74,16 @@ def test_long_and_empty(spark):
     assert G.tag(df.limit(0), lex, m).count() == 0
     with pytest.raises(ValueError):
         G.fit(df, lex.limit(0))
+
+
+def test_the_query_finds_emissions_once(spark, monkeypatch):
+    from topicflow.operators import tagger
+    from topicflow.plans import registry
+    registry.load_all()
+    calls, emissions = [], tagger.emissions
+    monkeypatch.setattr(tagger, "emissions", lambda *a, **k: calls.append(1) or emissions(*a, **k))
+    docs = spark.createDataFrame([(i, "running and walking dogs walked home slowly " * 8) for i in range(9)], "doc_id long, text string")
+    import topicflow.plans.q_lexicon as Q
+    monkeypatch.setattr(Q, "read_table", lambda *_: docs)
+    rows = registry.QUERIES["k3_context_tags"](spark, "").collect()
+    assert len(rows) == 9 and len({(r["tags"], r["nouns"]) for r in rows}) == 1 and len(rows[0]["tags"].split()) == 56 and len(calls) == 1

@@ -117,14 +117,22 @@ def best_tags(e: list, model: TagModel) -> list[list[str]]:
     return found
 
 
-def fit(df: DataFrame, lexicon: DataFrame, rounds: int = 5, prior: float = 1.0, id_col: str = "doc_id", tokens: str = "tokens") -> TagModel:
-    """Transitions by ``rounds`` of expectation and maximisation; ``prior`` is added to every count."""
+def tag_names(lexicon: DataFrame) -> tuple[str, ...]:
     tags = tuple(sorted(r["tag"] for r in lexicon.select("tag").distinct().collect()))       # few, by contract
     if not tags:
         raise ValueError("the lexicon has no tags")
+    return tags
+
+
+def fit(df: DataFrame, lexicon: DataFrame, rounds: int = 5, prior: float = 1.0, id_col: str = "doc_id", tokens: str = "tokens",
+        seen: DataFrame | None = None) -> TagModel:
+    """Transitions by ``rounds`` of expectation and maximisation; ``prior`` is added to every count.
+
+    ``seen``: the stored ``emissions`` of ``df``, where the caller has them."""
+    tags = tag_names(lexicon)
     k = len(tags)
     model = TagModel(tags, np.full(k, 1 / k), np.full((k, k), 1 / k))
-    seen = pinned(emissions(df, lexicon, tags, id_col, tokens).select("e"))
+    seen = seen.select("e") if seen is not None else pinned(emissions(df, lexicon, tags, id_col, tokens).select("e"))
     for _ in range(rounds):
         def counts(batches, model=model):
             total = np.zeros((k + 1, k))
@@ -140,9 +148,11 @@ def fit(df: DataFrame, lexicon: DataFrame, rounds: int = 5, prior: float = 1.0,
     return model
 
 
-def tag(df: DataFrame, lexicon: DataFrame, model: TagModel, id_col: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """``(id_col, tokens, tags)``: one tag a token."""
-    seen = emissions(df, lexicon, model.tags, id_col, tokens)
+def tag(df: DataFrame, lexicon: DataFrame, model: TagModel, id_col: str = "doc_id", tokens: str = "tokens",
+        seen: DataFrame | None = None) -> DataFrame:
+    """``(id_col, tokens, tags)``: one tag a token; ``seen`` as for ``fit``."""
+    if seen is None:
+        seen = emissions(df, lexicon, model.tags, id_col, tokens)
     kind = dict(df.dtypes)[id_col]
 
     def named(batches):
